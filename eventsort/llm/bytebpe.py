@@ -14,15 +14,17 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
+from itertools import islice
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: First code point that the compiled pattern does not cover, and its first UTF-8 byte.
 LIMIT, LIMIT_BYTE = 0x530, 0xD4
-#: Pre-tokens that a worker remembers; beyond that it starts afresh.
-CACHE_ENTRIES = 500_000
+#: Pre-tokens that a worker remembers, and those of them that it never forgets.
+CACHE_ENTRIES, CACHE_CORE = 600_000, 200_000
 
 _HIGH = re.compile(f"[\\u{LIMIT:04x}-\\U0010ffff]")
 
@@ -91,6 +93,23 @@ def heap_merge_count(symbols: list[int], pairs: dict[tuple[int, int], tuple[int,
     return left
 
 
+class Remembered(dict):
+    """Results of ``make`` by word. Once ``CACHE_ENTRIES`` are held, all but the
+    first ``CACHE_CORE`` go: frequent words come early."""
+
+    def __init__(self, make: Callable[[str], object]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str):
+        if len(self) >= CACHE_ENTRIES:
+            core = list(islice(self.items(), CACHE_CORE))
+            self.clear()
+            self.update(core)
+        made = self[word] = self.make(word)
+        return made
+
+
 class ByteBpe:
     """A byte-level vocabulary file, with the caches of one worker."""
 
@@ -111,8 +130,9 @@ class ByteBpe:
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.first = [vocab[s] for s in byte_symbols()]
-        self.counts: dict[str, int] = {}
-        self.ids: dict[str, bytes] = {}
+        self._symbols = dict(enumerate(byte_symbols()))
+        self.counts: dict[str, int] = Remembered(self._count)
+        self.ids: dict[str, bytes] = Remembered(self._ids)
         self._split = low_pattern().findall
 
     def segments(self, text: str) -> Iterable[tuple[str, int | None]]:
@@ -141,39 +161,24 @@ class ByteBpe:
         """Tokens of ``text``, by heap merges of each distinct pre-token."""
         total = 0
         for words, special in self.parts(text, low):
-            if special is not None:
-                total += 1
-                continue
-            try:
-                total += sum(map(self.counts.__getitem__, words))
-            except KeyError:
-                if len(self.counts) > CACHE_ENTRIES:
-                    self.counts.clear()
-                counts, first, pairs = self.counts, self.first, self.pairs
-                for w in words:
-                    if w not in counts:
-                        counts[w] = heap_merge_count([first[b] for b in w.encode()], pairs)
-                total += sum(map(counts.__getitem__, words))
+            total += 1 if special is not None else sum(map(self.counts.__getitem__, words))
         return total
 
     def encode(self, text: str, low: bool = False) -> bytes:
         """Ids of ``text`` as little-endian unsigned 32-bit numbers, from the library."""
         out = []
         for words, special in self.parts(text, low):
-            if special is not None:
-                out.append(special.to_bytes(4, "little"))
-                continue
-            try:
-                out.append(b"".join(map(self.ids.__getitem__, words)))
-            except KeyError:
-                if len(self.ids) > CACHE_ENTRIES:
-                    self.ids.clear()
-                new = [w for w in dict.fromkeys(words) if w not in self.ids]
-                for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.ids[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-                out.append(b"".join(map(self.ids.__getitem__, words)))
+            out.append(special.to_bytes(4, "little") if special is not None else b"".join(map(self.ids.__getitem__, words)))
         return b"".join(out)
 
+    def _count(self, word: str) -> int:
+        first = self.first
+        return heap_merge_count([first[b] for b in word.encode()], self.pairs)
+
+    def _ids(self, word: str) -> bytes:
+        tokens = self.library.model.tokenize(word.encode().decode("latin-1").translate(self._symbols))
+        return array("I", [t.id for t in tokens]).tobytes()
+
 
 @lru_cache(2)
 def load(path: str) -> ByteBpe:
