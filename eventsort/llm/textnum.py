@@ -56,12 +56,14 @@ class Words:
     """Words of a chunk of texts.
 
     ``hash``: one per word; ``first``: index of each text's first word, with one
-    more entry for the end; ``start``/``end``: byte offsets in ``data``.
+    more entry for the end; ``start``/``end``: byte offsets in ``data``;
+    ``original``: the bytes before lower-casing.
     """
 
-    __slots__ = ("data", "end", "first", "hash", "start")
+    __slots__ = ("data", "end", "first", "hash", "original", "start")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+        self.original = data
         self.data = _LOWER[data] if lower else data
         inside = ~_SPACE[data]
         before = np.empty_like(inside)
