@@ -2,10 +2,9 @@
 
 A fingerprint is the 64-bit hash of ``width`` consecutive words. The index is a
 set of immutable runs; a run holds, for each hash bucket, the sorted fingerprints
-of some past batches. ``FingerprintIndex.add`` takes a batch of documents:
+of some past batches. ``FingerprintIndex.add`` takes a batch of fingerprints:
 
-1. each task turns whole texts into fingerprints, dealt to buckets in blocks (one
-   row for a few hundred documents and a bucket, not one row a window);
+1. they come in blocks, one row for a few hundred documents and a bucket;
 2. in each bucket the batch's sorted fingerprints are merge-joined with the sorted
    runs and with each other: a window is repeated if it is in a run or if a
    document of the batch with a smaller id has it;
@@ -17,9 +16,15 @@ of some past batches. ``FingerprintIndex.add`` takes a batch of documents:
 come in the order of ids for "smaller id" to hold across batches; ``deduplicate``
 cuts a table into such batches.
 
-Bounds: a bucket holds about ``BUCKET_WINDOWS`` windows (their number follows the
-input), whatever repeats; a document's repeated windows are gathered with that
-document only. Nothing but the bucket count and batch borders reaches the driver.
+Most windows of a table occur in one document only. ``deduplicate`` leaves out
+those that cannot repeat before it fills the index: a window's *minimizer* is the
+least hash of its ``ANCHOR``-word parts; equal windows have equal minimizers, and
+neighbours mostly share theirs, so a table of minimizers, a fifth the size, tells
+each document which of its minimizers another document has too.
+
+Bounds: a bucket holds about ``BUCKET_HASHES`` hashes (the number of buckets
+follows the input), whatever repeats; a document's repeated windows are gathered
+with that document only. Nothing but sizes and batch borders reaches the driver.
 
 Cases: null and empty texts and those shorter than ``width`` words lose nothing;
 rows with a null id are neither compared nor cut; rows that repeat an id don't
@@ -41,10 +46,13 @@ from pyspark.sql import functions as F
 from .store import drop_table, new_path, type_of
 from .textnum import Words, chunks, mix, ngram_hashes
 
-#: Windows that a bucket holds, about, and bytes of text that make a window, about.
-BUCKET_WINDOWS, WINDOW_BYTES = 2_500_000, 6
+#: Hashes that a bucket holds, about; bytes of text to a word, about, and words to a minimizer.
+BUCKET_HASHES, WORD_BYTES, SPARSE = 1_000_000, 6, 5
+#: Words of the parts whose least hash is a window's minimizer.
+ANCHOR = 5
 
 _OUT = "bucket int, doc_id long, hashes binary, kind string"
+_IN = "batch int, bucket int, docs binary, counts binary, hashes binary"
 
 
 def _valid(words: Words, width: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,35 +62,119 @@ def _valid(words: Words, width: int, rows: int) -> tuple[np.ndarray, np.ndarray]
     return starts, text[starts]
 
 
+def _minimizers(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The minimizer of every window."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    part = min(ANCHOR, width)
+    least, span = ngram_hashes(hashes, part, 3), 1
+    while span < width - part + 1:
+        step = min(span, width - part + 1 - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    return least[:n]
+
+
+def _fingerprints(hashes: np.ndarray, width: int) -> np.ndarray:
+    return ngram_hashes(hashes, width, 5)
+
+
 def _blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Binary array of ``values`` cut at ``ends`` (counts of 8-byte values)."""
+    """Binary array of 8-byte ``values`` cut at ``ends``."""
     offsets = np.concatenate([[0], ends]).astype(np.int32) * 8
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
+def _blocks(ids: np.ndarray, doc: np.ndarray, h: np.ndarray, bucket: np.ndarray, batch: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``_IN``. ``doc``: which of ``ids`` a hash belongs to; ``batch``: by document."""
+    n = max(1, len(ids))
+    key = (batch[doc] * (int(bucket.max(initial=0)) + 1) + bucket) * n + doc
+    order = np.argsort(key, kind="stable")
+    h, key, bucket = h[order], key[order], bucket[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    counts = np.diff(np.r_[first, len(key)])
+    of, who = key[first] // n, key[first] % n
+    _, at = np.unique(of, return_index=True)
+    ends = np.r_[at[1:], len(of)] if len(of) else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(batch[who[at]], pa.int32()), pa.array(bucket[first[at]], pa.int32()), _blobs(ids[who], ends), _blobs(counts.astype(np.int64), ends), _blobs(h, np.cumsum(counts)[ends - 1] if len(of) else ends)], names=["batch", "bucket", "docs", "counts", "hashes"])
+
+
+def _second_bucket(hashes: np.ndarray, width: int, buckets: int) -> np.ndarray:
+    return (mix(ngram_hashes(hashes, width, 7)) % np.uint64(buckets)).astype(np.int64)
+
+
 def fingerprints(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """(bucket, docs, counts, hashes): blocks of fingerprints. ``docs``: 64-bit ids;
-    ``counts``: how many of the ``hashes`` belong to each."""
+    """All fingerprints of a batch (doc_id long, text), in blocks."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for i, j, words in chunks(batch.column(1)):
-                starts, text = _valid(words, width, j - i)
-                if not len(starts):
-                    continue
-                h = ngram_hashes(words.hash, width, 5)[starts]
-                bucket = (mix(ngram_hashes(words.hash, width, 7)[starts]) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                h, key = h[order], bucket[order] * (j - i) + text[order]
-                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                counts = np.diff(np.r_[first, len(key)])
-                of, doc = key[first] // (j - i), ids[i:j][key[first] % (j - i)]
-                there, at = np.unique(of, return_index=True)
-                ends = np.r_[at[1:], len(of)]
-                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), _blobs(doc, ends), _blobs(counts.astype(np.int64), ends), _blobs(h, np.cumsum(counts)[ends - 1])], names=["bucket", "docs", "counts", "hashes"])
-
-    return docs.mapInArrow(emit, "bucket int, docs binary, counts binary, hashes binary")
+                at, doc = _valid(words, width, j - i)
+                yield _blocks(ids[i:j], doc, _fingerprints(words.hash, width)[at], _second_bucket(words.hash, width, buckets)[at], np.zeros(j - i, np.int64))
+
+    return docs.mapInArrow(emit, _IN)
+
+
+def _minimizer_blocks(docs: DataFrame, width: int, buckets: int) -> DataFrame:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for i, j, words in chunks(batch.column(1)):
+                at, doc = _valid(words, width, j - i)
+                h = _minimizers(words.hash, width)[at]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                h, doc = h[new], doc[new]
+                yield _blocks(ids[i:j], doc, h, (mix(h) % np.uint64(buckets)).astype(np.int64), np.zeros(j - i, np.int64))
+
+    return docs.mapInArrow(emit, _IN)
+
+
+def _by_document(doc: np.ndarray, h: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Ids, and the hashes of each."""
+    order = np.argsort(doc, kind="stable")
+    doc, h = doc[order], h[order]
+    ends = np.flatnonzero(np.r_[doc[1:] != doc[:-1], True]) + 1 if len(doc) else np.zeros(0, np.int64)
+    return pa.array(doc[ends - 1] if len(ends) else [], pa.int64()), _blobs(h, ends)
+
+
+def _shared(block: pa.Table) -> pa.Table:
+    """One bucket: the hashes that more than one document has, by document."""
+    h, doc = _entries(block)
+    order = np.argsort(h, kind="stable")
+    h, doc = h[order], doc[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[first, len(h)])
+    least, most = (f.reduceat(doc, first) if len(h) else doc for f in (np.minimum, np.maximum))
+    many = np.repeat(least != most, sizes)
+    ids, hashes = _by_document(doc[many], h[many])
+    return pa.table({"doc_id": ids, "hashes": hashes})
+
+
+def repeatable(docs: DataFrame, width: int, buckets: int, sparse_buckets: int, borders: Sequence[int]) -> DataFrame:
+    """Fingerprints, in blocks by batch, of the windows whose minimizer occurs in
+    more than one document. ``borders``: the last id of every batch but the last."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, anchors = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            part = np.searchsorted(np.array(borders, np.int64), ids, "left").astype(np.int64)
+            for i, j, words in chunks(batch.column(1)):
+                at, doc = _valid(words, width, j - i)
+                least = _minimizers(words.hash, width)[at]
+                keep = np.zeros(len(at), bool)
+                ends = np.searchsorted(doc, np.arange(j - i + 1))
+                for k in range(j - i):
+                    own = slice(int(ends[k]), int(ends[k + 1]))
+                    keep[own] = np.isin(least[own], np.frombuffer(b"".join(anchors[i + k]), np.uint64))
+                at, doc = at[keep], doc[keep]
+                yield _blocks(ids[i:j], doc, _fingerprints(words.hash, width)[at], _second_bucket(words.hash, width, buckets)[at], part[i:j])
+
+    found = _minimizer_blocks(docs, width, sparse_buckets).groupBy("bucket").applyInArrow(_shared, "doc_id long, hashes binary")
+    anchors = found.groupBy("doc_id").agg(F.collect_list("hashes").alias("anchors"))
+    return docs.join(anchors, "doc_id").select("doc_id", "text", "anchors").mapInArrow(emit, _IN)
 
 
 def _numbers(column: pa.ChunkedArray, kind: type) -> np.ndarray:
@@ -90,10 +182,15 @@ def _numbers(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+def _entries(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and their documents."""
+    return _numbers(block.column("hashes"), np.uint64), np.repeat(_numbers(block.column("docs"), np.int64), _numbers(block.column("counts"), np.int64))
+
+
 def _merge(batch: pa.Table, runs: pa.Table) -> pa.Table:
     """One bucket: repeated windows by document (kind ``cut``), and the new run."""
     bucket = (batch if batch.num_rows else runs).column("bucket")[0].as_py()
-    h, doc = _numbers(batch.column("hashes"), np.uint64), np.repeat(_numbers(batch.column("docs"), np.int64), _numbers(batch.column("counts"), np.int64))
+    h, doc = _entries(batch)
     order = np.lexsort((doc, h))
     h, doc = h[order], doc[order]
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
@@ -106,12 +203,9 @@ def _merge(batch: pa.Table, runs: pa.Table) -> pa.Table:
     sizes = np.diff(np.r_[first, len(h)])
     repeated = np.repeat(old, sizes) | (doc > np.repeat(doc[first], sizes))
     repeated[1:] &= (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    cut_h, cut_doc = h[repeated], doc[repeated]
-    order = np.argsort(cut_doc, kind="stable")
-    cut_h, cut_doc = cut_h[order], cut_doc[order]
-    ends = np.flatnonzero(np.r_[cut_doc[1:] != cut_doc[:-1], True]) + 1 if len(cut_doc) else np.zeros(0, np.int64)
-    n = len(ends)
-    out = pa.table({"bucket": pa.array([bucket] * n, pa.int32()), "doc_id": pa.array(cut_doc[ends - 1] if n else [], pa.int64()), "hashes": _blobs(cut_h, ends), "kind": pa.array(["cut"] * n, pa.string())})
+    ids, hashes = _by_document(doc[repeated], h[repeated])
+    n = len(ids)
+    out = pa.table({"bucket": pa.array([bucket] * n, pa.int32()), "doc_id": ids, "hashes": hashes, "kind": pa.array(["cut"] * n, pa.string())})
     return pa.concat_tables([out, _run(bucket, known[~old])])
 
 
@@ -123,6 +217,12 @@ def _compact(runs: pa.Table) -> pa.Table:
     return _run(runs.column("bucket")[0].as_py(), np.unique(_numbers(runs.column("hashes"), np.uint64)))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner take the shuffle files of finished steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class FingerprintIndex:
     """Runs and cuts under one folder of the shared store."""
 
@@ -136,11 +236,11 @@ class FingerprintIndex:
             return self.spark.createDataFrame([], _OUT)
         return self.spark.read.schema(_OUT).parquet(*paths).where(F.col("kind") == kind) if len(paths) == 1 else self._read(paths[:1], kind).union(self._read(paths[1:], kind))
 
-    def add(self, docs: DataFrame, last: bool = False) -> None:
-        """Finds what a batch (doc_id long, text) repeats. ``last``: nothing comes
-        after, so its run need not be kept."""
-        path = new_path(self.spark, "fingerprints")
-        batch = fingerprints(docs, self.width, self.buckets).groupBy("bucket")
+    def add(self, blocks: DataFrame, last: bool = False) -> None:
+        """Finds what a batch of fingerprints, in blocks, repeats. ``last``: nothing
+        comes after, so its run need not be kept."""
+        path = new_path(self.spark, "found")
+        batch = blocks.groupBy("bucket")
         found = batch.cogroup(self._read(self.runs, "run").groupBy("bucket")).applyInArrow(_merge, _OUT)
         (found.where(F.col("kind") == "cut") if last else found).write.partitionBy("kind").parquet(path)
         self.cuts.append(path)
@@ -149,7 +249,7 @@ class FingerprintIndex:
             if len(self.runs) >= self.fan_in:
                 self.compact()
         del batch, found
-        self._release()
+        release(self.spark)
 
     def compact(self) -> None:
         """Merges all runs into one and deletes them."""
@@ -163,11 +263,6 @@ class FingerprintIndex:
             drop_table(self.spark, f"{path}/kind=run")
         self.runs = []
 
-    def _release(self) -> None:
-        """Lets Spark's cleaner take the shuffle files of finished batches."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def repeated(self) -> DataFrame:
         """(doc_id, cuts): fingerprints of each document's repeated windows."""
         return self._read(self.cuts, "cut").groupBy("doc_id").agg(F.collect_list("hashes").alias("cuts"))
@@ -175,7 +270,7 @@ class FingerprintIndex:
 
 def _removed(hashes: np.ndarray, cuts: list[bytes], width: int) -> np.ndarray:
     """Which words of a text the windows in ``cuts`` cover."""
-    windows = np.isin(ngram_hashes(hashes, width, 5), np.frombuffer(b"".join(cuts), np.uint64))
+    windows = np.isin(_fingerprints(hashes, width), np.frombuffer(b"".join(cuts), np.uint64))
     edge = np.zeros(len(hashes) + 1, np.int64)
     edge[: len(windows)] += windows
     edge[width : width + len(windows)] -= windows
@@ -234,14 +329,15 @@ def deduplicate(docs: DataFrame, width: int = 13, batches: int = 3, carry: Seque
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     known = rows.where("doc_id is not null").select("doc_id", "text")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    index = FingerprintIndex(spark, width, max(24, size // WINDOW_BYTES // BUCKET_WINDOWS))
-    borders = sorted(set(known.approxQuantile("doc_id", [(k + 1) / batches for k in range(batches - 1)], 0.01))) if size else []
+    words = size // WORD_BYTES
+    index = FingerprintIndex(spark, width, 16 + words // 3 // BUCKET_HASHES)
+    borders = sorted({int(x) for x in known.approxQuantile("doc_id", [(k + 1) / batches for k in range(batches - 1)], 0.01)}) if size and batches > 1 else []
+    path = new_path(spark, "windows")
+    repeatable(known, width, index.buckets, 16 + words // SPARSE // BUCKET_HASHES, borders).write.partitionBy("batch").parquet(path)
+    release(spark)
+    blocks = spark.read.schema(_IN).parquet(path)
     for k in range(len(borders) + 1):
-        part = known
-        if k:
-            part = part.where(F.col("doc_id") > F.lit(int(borders[k - 1])))
-        if k < len(borders):
-            part = part.where(F.col("doc_id") <= F.lit(int(borders[k])))
-        index.add(part, last=k == len(borders))
+        index.add(blocks.where(F.col("batch") == k), last=k == len(borders))
     index.drop_runs()
+    drop_table(spark, path)
     return rewrite(rows, index.repeated(), width, carry)
