@@ -94,15 +94,15 @@ def heap_merge_count(symbols: list[int], pairs: dict[tuple[int, int], tuple[int,
 
 
 class Remembered(dict):
-    """Results of ``make`` by word. Once ``CACHE_ENTRIES`` are held, all but the
-    first ``CACHE_CORE`` go: frequent words come early."""
+    """Results of ``make`` by word. Once ``entries`` are held, all but the first
+    ``CACHE_CORE`` go: frequent words come early."""
 
-    def __init__(self, make: Callable[[str], object]):
+    def __init__(self, make: Callable[[str], object], entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.make = make
+        self.make, self.entries = make, entries
 
     def __missing__(self, word: str):
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.entries:
             core = list(islice(self.items(), CACHE_CORE))
             self.clear()
             self.update(core)

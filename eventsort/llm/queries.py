@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_nbest import encode
+
+    return encode(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -64,6 +70,15 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(_table(spark, sf_dir, "documents"), width=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .chat import format_chats
+
+    turns = format_chats(_table(spark, sf_dir, "conversations"))
+    return turns.select("conv_id", "turn", "part", "given_role", "role", "n_lines", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -77,6 +92,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_sentencepiece_nbest,
         op2_best_fit_packing,
         op3_quality_classifier,
         op4_quality_rules,
@@ -84,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_ngram_jaccard_join,
         op7_exact_top_k,
         op8_substring_dedup,
+        op9_chat_formatting,
         op10_secret_scans,
     )
 }
