@@ -1,6 +1,98 @@
-STAGES = []
-ORACLE_SQL = None
+"""The corpus pipeline: five stages over ``documents``.
 
+Each stage takes (spark, docs, sf_dir), with docs what the stage before kept, and
+returns a DataFrame that is written and read again as the next one's docs. All but
+the last return the columns of docs, whatever these are.
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+1. quality_rules: documents that the base rule or the learned list rejects go.
+2. ngram_join: of each group of linked documents the one with the smallest id
+   stays. Rows with a null id stay; of rows that repeat an id one stays.
+3. substring_dedup: words of passages that a document with a smaller id has go;
+   documents that lose all their words go.
+4. secret_scans: secrets are replaced by a mark.
+5. best_fit_packing: tokens are packed into sequences; the rows are the pieces.
+
+The rules are learned from labels, tokens come from a vocabulary file and
+sequences from a fit, so SQL can't express the stages; tests compare them with
+brute force.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventsort.llm import ngram_join, packing, quality_rules, secrets, substring_dedup
+from eventsort.llm.queries import vocabulary
+from eventsort.llm.store import new_path, write_table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: The row that a stage carries along, under a name that no operator uses.
+ROW = "__row"
+
+
+def _whole_row(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW)
+
+
+def _with_text(docs: DataFrame, done: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from carried rows, with the new text and its length."""
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.when(F.col(f"{ROW}.text").isNotNull(), F.col("text")).alias("text")
+        if name == "n_chars":
+            return F.when(F.col(f"{ROW}.text").isNotNull(), F.char_length("text")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        return F.col(f"{ROW}.`{name}`").alias(name)
+
+    return done.select(*map(column, docs.columns))
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rules = quality_rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = quality_rules.apply_rules(docs, rules, carry=[_whole_row(docs)])
+    return judged.where("kept").select(f"{ROW}.*")
+
+
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    joined = ngram_join.join(docs, width=5, percent=75)
+    stay = joined.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi")
+    if not stay.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    done = substring_dedup.deduplicate(docs.select("doc_id", "text", _whole_row(docs)), width=13, carry=[ROW])
+    return _with_text(docs, done.where("n_removed = 0 or n_removed < n_words"))
+
+
+def secret_scans_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _with_text(docs, secrets.redact(secrets.scan(docs, carry=[_whole_row(docs)])))
+
+
+def best_fit_packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024, keep_ids=False)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules_stage),
+    ("ngram_join", ngram_join_stage),
+    ("substring_dedup", substring_dedup_stage),
+    ("secret_scans", secret_scans_stage),
+    ("best_fit_packing", best_fit_packing_stage),
+]
+
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; every stage but the last is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = write_table(stage(spark, docs, sf_dir), new_path(spark, name))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -44,19 +44,20 @@ FEATURES = {
 _SPACE = " \t\n\x0b\f\r"
 
 
-def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines,
-    n_upper, n_shouts, n_digits), all counts long.
+def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: Sequence[Column] = ()) -> DataFrame:
+    """(doc_id, *carry, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_lines, n_upper, n_shouts, n_digits), all counts long.
 
     Equal three-word windows are found by sorting their 64-bit hashes."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), *carry)
+    names = rows.columns[2:]
     t = F.col("text")
     trimmed = F.btrim(t, F.lit(_SPACE))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"\s+"))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"\S"))
     only = lambda keep: F.length(F.regexp_replace(t, f"[^{keep}]+", "")).cast("long")
-    first = rows.select("doc_id", words.alias("words"), lines.alias("lines"), only("#*$%&|<>").alias("n_symbols"), only("A-Z").alias("n_upper"), only("!?").alias("n_shouts"), only("0-9").alias("n_digits"))
+    first = rows.select("doc_id", *names, words.alias("words"), lines.alias("lines"), only("#*$%&|<>").alias("n_symbols"), only("A-Z").alias("n_upper"), only("!?").alias("n_shouts"), only("0-9").alias("n_digits"))
 
     w = F.col("words")
     windows = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
@@ -74,7 +75,7 @@ def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     counts = F.struct("n_words", "word_chars", "n_symbols", n_dup.alias("n_dup_lines"), n_repeat.alias("n_repeat_words"), n_lines.alias("n_lines"), "n_upper", "n_shouts", "n_digits")
     # a generator of one row: filters on the counts stay above it, else the
     # optimiser would copy the expressions above into them, lambdas and all
-    return third.select("doc_id", F.inline(F.array(counts)))
+    return third.select("doc_id", *names, F.inline(F.array(counts)))
 
 
 def base_failed() -> Column:
@@ -176,6 +177,6 @@ def verdict(rules: Sequence[Rule]) -> Column:
     return out.otherwise(F.lit(True))
 
 
-def apply_rules(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def apply_rules(docs: DataFrame, rules: Sequence[Rule], carry: Sequence[Column] = ()) -> DataFrame:
     """Statistics of every row, with base_failed and kept."""
-    return statistics(docs).select("*", base_failed().alias("base_failed"), verdict(rules).alias("kept"))
+    return statistics(docs, carry=carry).select("*", base_failed().alias("base_failed"), verdict(rules).alias("kept"))

@@ -133,11 +133,12 @@ def entropy_spans(text: Column, classes: Sequence[CharacterClass] = CLASSES, all
     return F.when(text.rlike(head), bad).otherwise(_none())
 
 
-def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", classes: Sequence[CharacterClass] = CLASSES, allowed: Sequence[str] = ALLOWED, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text, assign, access, hex, entropy): each row's spans by kind,
+def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", classes: Sequence[CharacterClass] = CLASSES, allowed: Sequence[str] = ALLOWED, window: int = WINDOW, carry: Sequence[Column] = ()) -> DataFrame:
+    """(doc_id, text, assign, access, hex, entropy, *carry): each row's spans by kind,
     as arrays of (start, end) in code points, end exclusive, in order."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), *carry)
+    names = rows.columns[2:]
     t = F.col("text")
     found = rows.select(
         "doc_id",
@@ -146,10 +147,11 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         match_spans(t, t.contains("AKIA"), ACCESS).alias("access"),
         match_spans(t, t.rlike(HEX), HEX).alias("hex"),
         entropy_spans(t, classes, allowed, window).alias("found"),
+        *names,
     )
     base = F.concat("assign", "access", "hex")
     clear = F.filter("found", lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return found.select("doc_id", "text", "assign", "access", "hex", F.when(F.size("found") > 0, clear).otherwise(F.col("found")).alias("entropy"))
+    return found.select("doc_id", "text", "assign", "access", "hex", F.when(F.size("found") > 0, clear).otherwise(F.col("found")).alias("entropy"), *names)
 
 
 def joined(kinds: Sequence[str]) -> Column:
@@ -163,7 +165,7 @@ def joined(kinds: Sequence[str]) -> Column:
 
 
 def redact(scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """(doc_id, text) of what ``scan`` returned, each run of overlapping spans replaced by ``mask``."""
+    """What ``scan`` returned without the spans; each run of overlapping spans is replaced by ``mask``."""
     spans = F.array_sort(F.concat(*KINDS[:4]))
 
     def step(s: Column, x: Column) -> Column:
@@ -173,4 +175,4 @@ def redact(scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     zero = F.struct(F.col("text").alias("text"), F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda s: F.concat(s["out"], F.substring(s["text"], s["at"] + 1, F.char_length(s["text"])))
-    return scanned.select("doc_id", F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(F.col("text")).alias("text"))
+    return scanned.select("doc_id", F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(F.col("text")).alias("text"), *scanned.columns[6:])
