@@ -30,17 +30,23 @@ THRESHOLDS, CONDITIONS, RULES = 24, 4, 16
 #: Share of rejected rows that really are bad, and rows covered, that a rule needs on the pruning rows.
 PRECISION, COVER = 0.97, 4
 
-#: What rules may test: shares, so that a long text is not judged by its length.
+#: What rules may test, each a count by another: shares, so that a long text is not judged by its length.
 FEATURES = {
-    "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
-    "duplicate_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-    "repeat_word_share": F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)),
-    "upper_share": F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
-    "shout_share": F.col("n_shouts") / F.greatest(F.col("n_words"), F.lit(1)),
-    "digit_share": F.col("n_digits") / F.greatest(F.col("word_chars"), F.lit(1)),
-    "word_length": F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)),
+    "symbol_share": ("n_symbols", "word_chars"),
+    "duplicate_line_share": ("n_dup_lines", "n_lines"),
+    "repeat_word_share": ("n_repeat_words", "n_words"),
+    "upper_share": ("n_upper", "word_chars"),
+    "shout_share": ("n_shouts", "n_words"),
+    "digit_share": ("n_digits", "word_chars"),
+    "word_length": ("word_chars", "n_words"),
 }
 
+
+def feature(name: str) -> Column:
+    part, whole = FEATURES[name]
+    return F.col(part) / F.greatest(F.col(whole), F.lit(1))
+
+
 _SPACE = " \t\n\x0b\f\r"
 
 
@@ -92,7 +98,7 @@ class Condition:
         return values[self.feature] >= self.threshold if self.above else values[self.feature] <= self.threshold
 
     def column(self) -> Column:
-        value = FEATURES[self.feature]
+        value = feature(self.feature)
         return value >= F.lit(self.threshold) if self.above else value <= F.lit(self.threshold)
 
     def __str__(self) -> str:
@@ -164,7 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     chosen = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(order, "doc_id").limit(sample_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     judged = statistics(texts).join(F.broadcast(chosen), "doc_id").where(~base_failed())
-    rows = judged.select("quality", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("prune")), F.lit(3)).alias("part"), *(f.alias(k) for k, f in FEATURES.items())).orderBy(*FEATURES, "quality", "part").limit(4 * sample_rows).collect()
+    rows = judged.select("quality", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("prune")), F.lit(3)).alias("part"), *(feature(k).alias(k) for k in FEATURES)).orderBy(*FEATURES, "quality", "part").limit(4 * sample_rows).collect()
     values = {k: np.array([r[k] for r in rows], float) for k in FEATURES}
     return learn_from(values, np.array([r["quality"] == 0 for r in rows], bool), np.array([r["part"] == 0 for r in rows], bool))
 
