@@ -73,7 +73,7 @@ class SortedLists:
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> type:
