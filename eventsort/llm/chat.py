@@ -23,6 +23,7 @@ rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,13 @@ LONG = np.log([[0.45, 0.35, 0.20], [0.45, 0.40, 0.15], [0.25, 0.35, 0.40]])  # u
 ASKS = np.log([[0.98, 0.02], [0.80, 0.20], [0.95, 0.05]])
 
 
-def _lines(text: str | None, speaker: str | None) -> list[tuple[bool, np.ndarray, str]]:
+def _nudge(turn: int | None, line: int) -> np.ndarray:
+    """A tiny preference among roles, fixed by place: equally likely paths are told
+    apart in the same way however the rows are dealt to tasks."""
+    return np.array([zlib.crc32(f"{turn}:{line}:{k}".encode()) for k in range(len(ROLES))]) * (1e-6 / 2**32)
+
+
+def _lines(text: str | None, speaker: str | None, turn: int | None = None) -> list[tuple[bool, np.ndarray, str]]:
     """(whether a turn may begin, emission by role, text without marker) of a row's lines."""
     out = []
     for k, line in enumerate((text or "").split("\n")):
@@ -58,7 +65,7 @@ def _lines(text: str | None, speaker: str | None) -> list[tuple[bool, np.ndarray
         body = line[found.end() :] if found else line
         names = ([NAMES.get((speaker or "").strip().lower())] if not k else []) + ([NAMES[found[1].lower()]] if found else [])
         n = len(body)
-        score = LONG[:, 0 if n < 60 else 1 if n < 300 else 2] + ASKS[:, int(body.rstrip().endswith("?"))]
+        score = LONG[:, 0 if n < 60 else 1 if n < 300 else 2] + ASKS[:, int(body.rstrip().endswith("?"))] + _nudge(turn, k)
         for name in names:
             if name:
                 score = score + np.where(np.array(ROLES) == name, MARKED, OTHER)
@@ -116,11 +123,11 @@ def _borders(rows: pa.Table) -> pa.Table:
     """Matrices of a range's first and last conversation, both as at its beginning and not."""
     rows = _sorted(rows)
     ranges = _conversations(rows)
-    texts, speakers = rows.column("text").to_pylist(), rows.column("role").to_pylist()
+    texts, speakers, turns = (rows.column(c).to_pylist() for c in ("text", "role", "turn"))
     out = []
     for at in sorted({0, len(ranges) - 1}):
         a, b = ranges[at]
-        lines = [x for k in range(a, b) for x in _lines(texts[k], speakers[k])]
+        lines = [x for k in range(a, b) for x in _lines(texts[k], speakers[k], turns[k])]
         conv = rows.column("conv_id")[a].as_py()
         out.append((rows.column("pid")[0].as_py(), at, len(ranges), None if conv is None else str(conv), _through(lines, True).ravel().tolist(), _through(lines, False).ravel().tolist()))
     names = ("pid", "at", "n", "conv", "first", "next")
@@ -177,10 +184,10 @@ def format_chats(rows: DataFrame) -> DataFrame:
         part = _sorted(part)
         ranges = _conversations(part)
         before, after = states.get(part.column("pid")[0].as_py(), (None, None))
-        texts, speakers = part.column("text").to_pylist(), part.column("role").to_pylist()
+        texts, speakers, numbers = (part.column(c).to_pylist() for c in ("text", "role", "turn"))
         at, index, roles, counts, rendered = [], [], [], [], []
         for k, (a, b) in enumerate(ranges):
-            lines = [_lines(texts[i], speakers[i]) for i in range(a, b)]
+            lines = [_lines(texts[i], speakers[i], numbers[i]) for i in range(a, b)]
             path = iter(_viterbi([x for row in lines for x in row], before if not k else None, after if k == len(ranges) - 1 else None))
             for i, row in zip(range(a, b), lines, strict=True):
                 turns: list[tuple[int, list[str]]] = []
