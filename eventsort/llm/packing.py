@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytebpe import is_low, load
-from .store import new_path, type_of, write_table
+from .store import new_path, small_batches, type_of, write_table
+from .textnum import give_back
 
 #: Pieces that one bucket of a length holds, about.
 BUCKET_ROWS = 50_000
@@ -155,6 +156,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, keep_id
             arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * keep_ids, names=names + ["ids"] * keep_ids)
+        bpe.ids.shrink()
+        give_back()
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(cut, f"doc_id {type_of(rows, 'doc_id')}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
@@ -201,5 +204,6 @@ def place(table: DataFrame, capacity: int) -> DataFrame:
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, keep_ids: bool = True) -> DataFrame:
     """Every piece of every document with its place: (doc_id, piece, start, length,
     ids_crc32[, ids], sequence_id, offset). Offsets leave no gap in a sequence."""
+    small_batches(docs.sparkSession)
     cut = pieces(docs, vocabulary, end_id, capacity, keep_ids)
     return place(write_table(cut, new_path(docs.sparkSession, "pieces")), capacity)

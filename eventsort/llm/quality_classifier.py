@@ -7,8 +7,8 @@ Fitting, on the driver, over at most ``fit_rows`` labelled texts:
 * every word also has a *shape* (symbols, capitals, digits, length, whether it
   repeats the word before), whose index vector is random too;
 * a document is the mean of its words' vectors beside the mean of its shapes';
-* a network with one hidden layer is trained by Adam, and a temperature is
-  chosen on rows held back so that its probabilities are calibrated.
+* a network with one hidden layer is trained by Adam; rows held back say when to
+  stop, and choose the temperature that calibrates its probabilities.
 
 Scoring is one pass over whole texts, chunk by chunk in numpy; the model, of
 bounded size, travels with the task. Only texts are inputs of a score.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import type_of
+from .store import small_batches, type_of
 from .textnum import Words, chunks, stream
 
 #: Labelled texts that are learnt from at most; words with a vector.
@@ -113,7 +113,13 @@ def _logits(x: np.ndarray, layers: Sequence[np.ndarray]) -> np.ndarray:
     return np.tanh(x @ w1 + b1) @ w2 + b2[0]
 
 
-def _train(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+def _loss(logits: np.ndarray, y: np.ndarray) -> float:
+    return float(np.mean(np.logaddexp(0, logits) - y * logits))
+
+
+def _train(x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The weights of the step whose loss on the rows held back was least; of the last without such rows."""
+    best: tuple[float, tuple[np.ndarray, ...]] = (np.inf, ())
     rng = np.random.default_rng(7)
     layers = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     first, second = [np.zeros_like(p) for p in layers], [np.zeros_like(p) for p in layers]
@@ -126,15 +132,13 @@ def _train(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
             layers[k] = layers[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return tuple(layers)
+        if len(held_y) and step % 5 == 0 and (loss := _loss(_logits(held_x, layers), held_y)) < best[0]:
+            best = (loss, tuple(layers))
+    return best[1] or tuple(layers)
 
 
 def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    def loss(t: float) -> float:
-        z = logits / t
-        return float(np.mean(np.logaddexp(0, z) - y * z))
-
-    return float(min(np.geomspace(0.25, 8, 60), key=loss))
+    return float(min(np.geomspace(0.25, 8, 60), key=lambda t: _loss(logits / t, y)))
 
 
 def fit_texts(texts: Sequence[str | None], good: Sequence[int]) -> Model:
@@ -168,7 +172,7 @@ def fit_texts(texts: Sequence[str | None], good: Sequence[int]) -> Model:
     held = np.arange(len(y)) % 5 == 0
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(y), bool)
-    model.layers = _train(x[~held], y[~held])
+    model.layers = _train(x[~held], y[~held], x[held], y[held])
     model.temperature = _temperature(_logits(x[held], model.layers), y[held]) if held.any() else 1.0
     return model
 
@@ -203,5 +207,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             scores = np.clip(np.concatenate(scores) if scores else np.zeros(0), 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(judge, f"doc_id {type_of(rows, 'doc_id')}, held_out boolean, score double, predicted int")

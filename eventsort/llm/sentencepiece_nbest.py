@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import Remembered
-from .store import type_of
+from .store import small_batches, type_of
+from .textnum import give_back
 
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
 #: Units that a worker remembers.
@@ -212,7 +213,10 @@ def encode(docs: DataFrame, model_path: str, keep_ids: bool = True) -> DataFrame
                     kept.append(ids)
             arrays = [batch.column(0), pa.array(count, pa.int64()), pa.array(crc, pa.int64()), pa.array(score, pa.float64()), pa.array(second, pa.float64()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * keep_ids, names=["doc_id", "n_pieces", "ids_crc32", "score", "second_score", "round_trip"] + ["ids"] * keep_ids)
+        model.solved.shrink()
+        give_back()
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {type_of(rows, 'doc_id')}, n_pieces long, ids_crc32 long, score double, second_score double, round_trip boolean" + ", ids binary" * keep_ids)
 

@@ -43,8 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import drop_table, new_path, type_of
-from .textnum import Words, chunks, mix, ngram_hashes
+from .store import drop_table, new_path, small_batches, type_of
+from .textnum import Words, blob_values, chunks, give_back, mix, ngram_hashes
 
 #: Hashes that a bucket holds, about; bytes of text to a word, about, and words to a minimizer.
 BUCKET_HASHES, WORD_BYTES, SPARSE = 1_000_000, 6, 5
@@ -177,14 +177,9 @@ def repeatable(docs: DataFrame, width: int, buckets: int, sparse_buckets: int, b
     return docs.join(anchors, "doc_id").select("doc_id", "text", "anchors").mapInArrow(emit, _IN)
 
 
-def _numbers(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    parts = [np.frombuffer(x, kind) for x in column.to_pylist()]
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
-
-
 def _entries(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and their documents."""
-    return _numbers(block.column("hashes"), np.uint64), np.repeat(_numbers(block.column("docs"), np.int64), _numbers(block.column("counts"), np.int64))
+    return blob_values(block.column("hashes"), np.uint64), np.repeat(blob_values(block.column("docs"), np.int64), blob_values(block.column("counts"), np.int64))
 
 
 def _merge(batch: pa.Table, runs: pa.Table) -> pa.Table:
@@ -206,6 +201,7 @@ def _merge(batch: pa.Table, runs: pa.Table) -> pa.Table:
     ids, hashes = _by_document(doc[repeated], h[repeated])
     n = len(ids)
     out = pa.table({"bucket": pa.array([bucket] * n, pa.int32()), "doc_id": ids, "hashes": hashes, "kind": pa.array(["cut"] * n, pa.string())})
+    give_back()
     return pa.concat_tables([out, _run(bucket, known[~old])])
 
 
@@ -214,7 +210,7 @@ def _run(bucket: int, hashes: np.ndarray) -> pa.Table:
 
 
 def _compact(runs: pa.Table) -> pa.Table:
-    return _run(runs.column("bucket")[0].as_py(), np.unique(_numbers(runs.column("hashes"), np.uint64)))
+    return _run(runs.column("bucket")[0].as_py(), np.unique(blob_values(runs.column("hashes"), np.uint64)))
 
 
 def release(spark: SparkSession) -> None:
@@ -326,6 +322,7 @@ def rewrite(docs: DataFrame, repeated: DataFrame, width: int, carry: Sequence[st
 def deduplicate(docs: DataFrame, width: int = 13, batches: int = 3, carry: Sequence[str] = ()) -> DataFrame:
     """``rewrite`` of a whole table, indexed in ``batches`` ranges of ids."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     known = rows.where("doc_id is not null").select("doc_id", "text")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0

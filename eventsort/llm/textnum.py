@@ -11,15 +11,17 @@ Null texts count as empty. No text is ever cut: a chunk always holds whole texts
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one chunk holds unless a single text is longer.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda keep: 0)  # glibc has it
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -105,6 +107,25 @@ def ngram_hashes(words: np.ndarray, n: int, seed: int = 3) -> np.ndarray:
     return mix(out)
 
 
+def blob_values(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """All numbers in a binary column, one after the other, without a copy where it is one chunk."""
+    blobs = column.combine_chunks()
+    if isinstance(blobs, pa.ChunkedArray):
+        blobs = pa.concat_arrays(blobs.chunks) if blobs.num_chunks else pa.array([], column.type)
+    _, offsets, data = blobs.buffers()
+    if not len(blobs) or data is None:
+        return np.zeros(0, kind)
+    wide = np.int64 if pa.types.is_large_binary(blobs.type) else np.int32
+    offsets = np.frombuffer(offsets, wide)[blobs.offset : blobs.offset + len(blobs) + 1]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers are kept between tasks."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = texts.cast(pa.large_binary())
     if texts.null_count:

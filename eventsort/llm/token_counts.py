@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import is_low, load
-from .store import type_of
+from .store import small_batches, type_of
+from .textnum import give_back
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -40,6 +41,9 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_column:
             tokens = [bpe.count(t, low) for t in texts.to_pylist()]
             sizes = pc.cast(pc.binary_length(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        bpe.counts.shrink()
+        give_back()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInArrow(count, f"doc_id {type_of(rows, 'doc_id')}, n_bytes long, n_tokens long, over_limit boolean")
