@@ -23,8 +23,8 @@ def parser() -> argparse.ArgumentParser:
 
     step("scan", "root").add_argument("--metadata", help="JSON lines that an extractor wrote; without it the extractor runs")
     step("summarize", "registry")
-    step("cluster", "registry")
-    step("plan", "clustered", "target")
+    for x in (step("cluster", "registry"), step("plan", "clustered", "target")):
+        x.add_argument("--json-array", action="store_true", help="also write one JSON array")
     a = step("apply", "plan")
     a.add_argument("--min-confidence", choices=("low", "medium", "high"), default="high")
     a.add_argument("--only-auto-approved", action="store_true")
@@ -47,9 +47,9 @@ def main(argv: Sequence[str] | None = None) -> int:
     elif a.step == "summarize":
         done = steps.summarize(spark, a.registry, a.out)
     elif a.step == "cluster":
-        steps.preview(steps.clusters(spark, a.registry, a.out), "cluster_no", columns=("cluster_no", "cluster_id", "event_day", "file_count", "cluster_confidence")).show(truncate=False)
+        steps.preview(steps.clusters(spark, a.registry, a.out, a.json_array), "cluster_no", columns=("cluster_no", "cluster_id", "event_day", "file_count", "cluster_confidence")).show(truncate=False)
     elif a.step == "plan":
-        steps.preview(steps.make_plan(spark, a.clustered, a.out, a.target), "seq", columns=("seq", "proposed_action", "proposed_destination")).show(truncate=False)
+        steps.preview(steps.make_plan(spark, a.clustered, a.out, a.target, a.json_array), "seq", columns=("seq", "proposed_action", "proposed_destination")).show(truncate=False)
     elif a.step == "apply":
         done = steps.apply_plan(spark, a.plan, a.out, Selection(a.min_confidence, a.only_auto_approved, tuple(a.cluster_id), a.overwrite), a.execute)
     elif a.step == "sort":

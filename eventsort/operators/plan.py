@@ -68,9 +68,9 @@ def ordered(rows: DataFrame) -> DataFrame:
 
 
 def build(files: DataFrame, events: DataFrame, root: str) -> DataFrame:
-    """The plan: ``PLAN_COLUMNS`` and seq. Rows are written before they get names, which reads them more than once."""
+    """The plan: ``PLAN_COLUMNS`` and seq, the plan's order. Rows are written before they get names, which reads them more than once."""
     rows = write_table(ordered(plan_rows(files, events, root)), new_path(files.sparkSession, "plan"))
-    return name_destinations(rows, "plan_order").select(*PLAN_COLUMNS, "seq")
+    return name_destinations(rows, "plan_order").select(*PLAN_COLUMNS, F.col("plan_order").alias("seq"))
 
 
 def from_records(events: DataFrame) -> DataFrame:

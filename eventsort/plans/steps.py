@@ -61,25 +61,33 @@ def summarize(spark: SparkSession, registry: str, out: str) -> dict:
     )
 
 
-def clusters(spark: SparkSession, registry: str, out: str) -> DataFrame:
+def clusters(spark: SparkSession, registry: str, out: str, array: bool = False) -> DataFrame:
+    """``array``: also writes events as one JSON array."""
     rows = cluster.assign(enrich.enrich(files.read_registry(spark, files.need(registry, "registry"))))
     path = os.path.join(out, "clustered")
     rows.write.mode("overwrite").parquet(path)
     stored = spark.read.parquet(path)
     files.write_lines(stored.drop(enrich.TIME, "cluster_no", "day_sequence", "event_day"), os.path.join(out, "enriched"))
     files.write_lines(cluster.event_table(stored), os.path.join(out, "events"), order="cluster_no")
-    return files.read_events(spark, os.path.join(out, "events"))
+    events = files.read_events(spark, os.path.join(out, "events"))
+    if array:
+        files.write_array(events, os.path.join(out, "events.json"), "cluster_no")
+    return events
 
 
-def make_plan(spark: SparkSession, clustered: str, out: str, target: str) -> DataFrame:
+def make_plan(spark: SparkSession, clustered: str, out: str, target: str, array: bool = False) -> DataFrame:
+    """``array``: also writes the plan as one JSON array."""
     rows = dedup.flag(spark.read.parquet(files.need(clustered, "clustered registry")))
     made = plan.build(rows, cluster.summarize(rows), target)
     path = os.path.join(out, "plan")
-    files.write_lines(made, path)
+    files.write_lines(made, path, order="seq")
     stored = files.read_plan(spark, path)
-    files.write_csv(stored.drop("seq"), os.path.join(out, "plan_csv"))
-    counts = {"total_files": stored.count(), "total_clusters": stored.select("cluster_id").distinct().count(), "counters": _map(summary.plan_counts(stored), "counter", "files")}
-    files.write_summary(counts | {f"{r['proposed_bucket']}_clusters": r["clusters"] for r in summary.clusters_per_bucket(stored).collect()}, os.path.join(out, "plan_summary.json"))
+    files.write_csv(stored.select(*plan.PLAN_COLUMNS, "seq").orderBy("seq").drop("seq"), os.path.join(out, "plan_csv"))
+    if array:
+        files.write_array(stored, os.path.join(out, "plan.json"), "seq")
+    by_bucket = {r["proposed_bucket"]: r["clusters"] for r in summary.clusters_per_bucket(stored).collect()}
+    counts = {"total_clusters": stored.select("cluster_id").distinct().count(), "total_files": stored.count(), "target_root": target, "result_counters": _map(summary.plan_counts(stored), "counter", "files")}
+    files.write_summary(counts | {f"{b}_cluster_count": by_bucket.get(b, 0) for b in ("auto", "review", "general")}, os.path.join(out, "plan_summary.json"))
     return stored
 
 

@@ -39,7 +39,9 @@ def test_events_of_the_fixture(clustered):
 
 def test_plan_of_the_fixture(clustered):
     files = dedup.flag(clustered)
-    rows = {r["seq"]: r for r in plan.build(files, cluster.summarize(files), "/t").collect()}
+    built = plan.build(files, cluster.summarize(files), "/t").orderBy("seq").collect()
+    rows = {int(r["source_path"].split("/")[2]): r for r in built}
+    assert list(rows) == [1, 2, 3, 5, 4, 6, 7, 9, 8]
     assert {k: r["proposed_destination"].rsplit("/", 1)[0] for k, r in rows.items()} == {
         1: "/t/2024/07-18", 2: "/t/2024/07-18", 3: "/t/2024/07-18_02", 4: "/t/_REVIEW/2024-07-19_event-0003", 5: "/t/_GENERAL/_DUPLICATES/event-0003",
         6: "/t/2024/07-20", 7: "/t/_GENERAL/_DOCUMENTS/event-0004", 8: "/t/_GENERAL/_UNSORTED/event-0006", 9: "/t/_REVIEW/2024-07-21_event-0005",

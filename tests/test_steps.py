@@ -64,10 +64,13 @@ def test_whole_way(spark, library, tmp_path):
     assert registry.count() == 6 and spark.read.json(out("scan/errors")).count() == 1
     report = steps.summarize(spark, out("scan/registry"), out("summary"))
     assert report["total_files"] == 6 and report["duplicate_hash_group_count"] == 1 and report["extensions"][".jpg"] == 4
-    events = steps.clusters(spark, out("scan/registry"), out("events"))
-    assert events.count() >= 3
+    events = steps.clusters(spark, out("scan/registry"), out("events"), array=True)
+    assert events.count() >= 3 and len(json.load(open(out("events/events.json"), encoding="utf-8"))) == events.count()
     target = out("organized")
-    made = steps.make_plan(spark, out("events/clustered"), out("plan"), target)
+    made = steps.make_plan(spark, out("events/clustered"), out("plan"), target, array=True)
+    plan_report = json.load(open(out("plan/plan_summary.json"), encoding="utf-8"))
+    assert plan_report["total_files"] == 6 == sum(n for k, n in plan_report["result_counters"].items() if k.startswith("bucket_")) and plan_report["auto_cluster_count"] == 1
+    assert [r["source_path"] for r in made.orderBy("seq").collect()] == [r["source_path"] for r in json.load(open(out("plan/plan.json"), encoding="utf-8"))]
     actions = {r["file_name"]: r["proposed_action"] for r in made.collect()}
     assert actions["a b.JPG"] == "auto" and actions["y copy.mp4"] == "general_duplicate"
     text = spark.read.text(out("plan/plan_csv"), wholetext=True).collect()
