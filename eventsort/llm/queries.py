@@ -105,7 +105,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+_WORDS_SQL = r"[x FOR x IN regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+') IF x <> '']"
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_ngram_jaccard_join": f"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), docs AS (
+  SELECT rid, doc_id, {_WORDS_SQL} AS words FROM texts
+), sets AS (
+  SELECT DISTINCT rid, array_to_string(words[i:i + 4], ' ') AS gram
+  FROM (SELECT rid, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i FROM docs WHERE len(words) > 0)
+), sizes AS (
+  SELECT rid, count(*) AS n FROM sets GROUP BY rid
+), pairs AS (
+  SELECT a.rid AS x, b.rid AS y, count(*) AS o FROM sets a JOIN sets b ON a.gram = b.gram AND a.rid < b.rid GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes a ON a.rid = x JOIN sizes b ON b.rid = y WHERE 100 * o >= 75 * (a.n + b.n - o)
+), edges AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT rid, rid AS goal FROM docs UNION SELECT r.rid, e.y FROM reach r JOIN edges e ON e.x = r.goal
+)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(g.doc_id) AS component_id
+FROM docs d JOIN reach r ON r.rid = d.rid JOIN docs g ON g.rid = r.goal LEFT JOIN sizes s ON s.rid = d.rid GROUP BY d.rid, d.doc_id
+""",
+    "op8_substring_dedup": f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_WORDS_SQL} AS words FROM documents
+), grams AS (
+  SELECT rid, doc_id, i, array_to_string(words[i:i + 12], ' ') AS gram
+  FROM (SELECT rid, doc_id, words, unnest(generate_series(1, len(words) - 12)) AS i FROM docs WHERE len(words) >= 13)
+), firsts AS (
+  SELECT gram, min(doc_id) AS first_doc FROM grams GROUP BY gram
+), gone AS (
+  SELECT DISTINCT rid, i + k AS p FROM grams JOIN firsts USING (gram), range(13) offsets(k) WHERE first_doc < doc_id
+), placed AS (
+  SELECT rid, unnest(words) AS word, unnest(generate_series(1, len(words))) AS p FROM docs
+), kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM placed ANTI JOIN gone USING (rid, p) GROUP BY rid
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)
+""",
     "op7_exact_top_k": """
 WITH usable AS (
   SELECT vec_id, embedding FROM embeddings

@@ -18,7 +18,7 @@ than the named id and text are kept out, so their names cannot clash.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -57,10 +57,17 @@ ALLOWED = (
     r"^[A-Za-z0-9]+([-_/][A-Za-z]+)*[-_/][0-9]{1,4}$",  # slugs with a number
 )
 WINDOW = 20
+#: Matches that are added up at a time.
+BLOCK = 256
 
 _SPANS = "array<struct<start:int,end:int>>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _none() -> Column:
     return F.array().cast(_SPANS)
 
@@ -69,7 +76,9 @@ def match_spans(text: Column, head: Column, pattern: str, group: int = 0, least:
     """Code-point spans of the leftmost non-overlapping matches of ``pattern``
     whose ``group`` has ``least`` characters; looked for only where ``head`` holds.
 
-    The text between matches and the matches, laid end to end, give the places."""
+    The text between matches and the matches, laid end to end, give the places.
+    They are added up in blocks, so that a text with very many matches is not
+    copied once for each."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     found = F.zip_with(matches, values, lambda m, v: F.struct(F.char_length(m).alias("long"), F.char_length(v).alias("value")))
@@ -81,8 +90,20 @@ def match_spans(text: Column, head: Column, pattern: str, group: int = 0, least:
         more = F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))
         return F.struct(end.alias("at"), F.when(x["value"] >= least, more).otherwise(state["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), _none().alias("out"))
-    return F.when(head, F.aggregate(steps, zero, step, lambda s: s["out"])).otherwise(_none())
+    def within(block: Column, start: Column) -> Column:
+        return F.aggregate(block, F.struct(start.alias("at"), _none().alias("out")), step, lambda s: s["out"])
+
+    def in_blocks(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + F.coalesce(x["long"], F.lit(0))))
+        nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(sums, nothing, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+        return F.flatten(F.zip_with(blocks, starts, within))
+
+    def cut(all_steps: Column) -> Column:
+        last = F.floor((F.size(all_steps) - 1) / BLOCK).cast("int")
+        return _once(F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(all_steps, b * BLOCK + 1, F.lit(BLOCK))), in_blocks)
+
+    return F.when(head, _once(steps, cut)).otherwise(_none())
 
 
 def _clogc(c: Column) -> Column:

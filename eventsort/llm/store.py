@@ -1,45 +1,17 @@
-"""Scratch tables in the folder that driver and executors share.
-
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset,
-as in tests on one machine, is a temporary folder made and set.
-"""
+"""What the operators share: scratch tables, and bounds of what Python workers get."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import drop_table, new_path, shared_folder, write_table
+
+__all__ = ["drop_table", "new_path", "shared_folder", "small_batches", "type_of", "write_table"]
 
 #: Bounds of a batch of rows that a Python worker gets.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="eventsort-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def write_table(df: DataFrame, path: str) -> DataFrame:
-    """Writes ``df`` as Parquet and returns it as read from there: lineage ends here."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds what goes to Python workers at a time, by bytes and by rows: texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

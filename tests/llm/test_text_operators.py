@@ -309,6 +309,12 @@ def test_secret_spans(spark):
     assert all(set(filter(None, b.split(","))) <= set(a.split(",")) for v in rows.values() for b, a in v)
 
 
+def test_a_text_with_very_many_matches(spark):
+    text = "é token=abcdef " * 3000
+    found = secrets.scan(frame(spark, [(1, text)])).select(secrets.joined(secrets.KINDS[:3]).alias("base")).first()["base"]
+    assert found == ",".join(base_spans(text)) and found.count("assign") == 3000
+
+
 def entropy(text, alphabet, window):
     best = 0.0
     for k in range(len(text) - window + 1):
