@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from eventsort.llm import ngram_join, packing, quality_rules, secrets, substring_dedup
 from eventsort.llm.queries import vocabulary
-from eventsort.llm.store import new_path, write_table
+from eventsort.llm.store import drop_table, new_path, write_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -91,8 +91,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every stage but the last is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; every stage but the last is written and read
+    again, and goes once the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), new_path(spark, name))
+        path = new_path(spark, name)
+        docs = write_table(stage(spark, docs, sf_dir), path)
+        if before:
+            drop_table(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
