@@ -213,7 +213,6 @@ def encode(docs: DataFrame, model_path: str, keep_ids: bool = True) -> DataFrame
                     kept.append(ids)
             arrays = [batch.column(0), pa.array(count, pa.int64()), pa.array(crc, pa.int64()), pa.array(score, pa.float64()), pa.array(second, pa.float64()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * keep_ids, names=["doc_id", "n_pieces", "ids_crc32", "score", "second_score", "round_trip"] + ["ids"] * keep_ids)
-        model.solved.shrink()
         give_back()
 
     small_batches(docs.sparkSession)

@@ -34,7 +34,6 @@ named in ``carry`` are passed on. Ids are integers.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator, Sequence
 
@@ -43,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import drop_table, new_path, small_batches, type_of
+from .store import drop_table, new_path, release, small_batches, type_of
 from .textnum import Words, blob_values, chunks, give_back, mix, ngram_hashes
 
 #: Hashes that a bucket holds, about; bytes of text to a word, about, and words to a minimizer.
@@ -213,12 +212,6 @@ def _compact(runs: pa.Table) -> pa.Table:
     return _run(runs.column("bucket")[0].as_py(), np.unique(blob_values(runs.column("hashes"), np.uint64)))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner take the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 class FingerprintIndex:
     """Runs and cuts under one folder of the shared store."""
 

@@ -41,7 +41,6 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_column:
             tokens = [bpe.count(t, low) for t in texts.to_pylist()]
             sizes = pc.cast(pc.binary_length(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
-        bpe.counts.shrink()
         give_back()
 
     small_batches(docs.sparkSession)
