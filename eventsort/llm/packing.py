@@ -30,7 +30,7 @@ from .store import new_path, small_batches, type_of, write_table
 from .textnum import give_back
 
 #: Pieces that one bucket of a length holds, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 #: Rounds of fitting and rounding, and gradient steps in each.
 ROUNDS, STEPS = 3, 250
 
