@@ -39,7 +39,9 @@ def offset_of(value: Column) -> Column:
     """Seconds of the text's offset; 0 without one."""
     number = lambda k: F.coalesce(F.regexp_extract(value, _SHAPE, k).try_cast("int"), F.lit(0))
     seconds = number(9) * 3600 + number(10) * 60 + number(11)
-    return F.when(F.regexp_extract(value, _SHAPE, 8) == "-", -seconds).otherwise(seconds)
+    signed = F.when(F.regexp_extract(value, _SHAPE, 8) == "-", -seconds).otherwise(seconds)
+    clock = F.substring(value, 9, 100)  # past the date's own dashes
+    return F.when((F.instr(clock, "+") > 0) | (F.instr(clock, "-") > 0), signed).otherwise(F.lit(0))
 
 
 def time_struct(local: Column, offset_s: Column) -> Column:

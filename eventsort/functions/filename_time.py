@@ -24,12 +24,14 @@ def _first(name: Column, pattern: str, shown: str) -> Column:
 
 def second_of(bare: Column) -> Column:
     """The date and time that a stem carries, or null; an impossible value lets the next pattern try."""
-    return F.coalesce(*[_first(bare, p, "$1-$2-$3 $4:$5:$6") for p in _MOMENTS])
+    found = F.coalesce(*[_first(bare, p, "$1-$2-$3 $4:$5:$6") for p in _MOMENTS])
+    return F.when(F.length(bare) >= 14, found)
 
 
 def noon_of(bare: Column) -> Column:
     """Noon of the date that a stem carries, or null."""
-    return F.coalesce(*[_first(bare, p, "$1-$2-$3 12:00:00") for p in _DAYS])
+    found = F.coalesce(*[_first(bare, p, "$1-$2-$3 12:00:00") for p in _DAYS])
+    return F.when(F.length(bare) >= 8, found)
 
 
 def parse(name: Column) -> Column:

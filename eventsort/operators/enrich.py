@@ -22,7 +22,8 @@ def enrich(registry: DataFrame) -> DataFrame:
     field = (lambda f: F.col(f"exif.{f}")) if "exif" in registry.columns else F.col
     value, source = field("created_at"), field("created_at_source")
     rows = registry.withColumns({"__local": exif_time.local_of(value), "__offset": exif_time.offset_of(value), "__stem": stem(F.col("file_name"))})
-    rows = rows.withColumns({"__recorded": exif_time.time_struct(F.col("__local"), F.col("__offset")), "__second": filename_time.second_of(F.col("__stem")), "__noon": filename_time.noon_of(F.col("__stem"))})
+    rows = rows.withColumns({"__recorded": exif_time.time_struct(F.col("__local"), F.col("__offset")), "__second": filename_time.second_of(F.col("__stem"))})
+    rows = rows.withColumn("__noon", F.when(F.col("__second").isNull(), filename_time.noon_of(F.col("__stem"))))
     recorded, embedded = F.col("__recorded"), F.coalesce(field("created_at_is_embedded"), F.lit(False))
     rank = F.when(embedded & recorded.isNotNull(), 1).when(F.col("__second").isNotNull(), 2).when(F.col("__noon").isNotNull(), 3).when(~embedded & recorded.isNotNull(), 4).otherwise(5)
     rows = rows.withColumn("__rank", rank)
