@@ -5,8 +5,9 @@ returns a DataFrame that is written and read again as the next one's docs. All b
 the last return the columns of docs, whatever these are.
 
 1. quality_rules: documents that the base rule or the learned list rejects go.
-2. ngram_join: of each group of linked documents the one with the smallest id
-   stays. Rows with a null id stay; of rows that repeat an id one stays.
+2. ngram_join: of each group of linked rows the one with the smallest id stays;
+   null ids come last, and what the row holds decides between equal ids. Rows that
+   share an id but have unrelated texts all stay, as do rows without words.
 3. substring_dedup: words of passages that a document with a smaller id has go;
    documents that lose all their words go.
 4. secret_scans: secrets are replaced by a mark.
@@ -32,6 +33,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: The row that a stage carries along, under a name that no operator uses.
 ROW = "__row"
+#: The hash of a row, likewise.
+KEY = "__key"
 
 
 def _whole_row(docs: DataFrame) -> Column:
@@ -57,13 +60,25 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return judged.where("kept").select(f"{ROW}.*")
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of the whole row: the same however rows are dealt, and rows with one key
+    have one text. Maps have no hash."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]).alias(KEY)
+
+
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    joined = ngram_join.join(docs, width=5, percent=75)
-    stay = joined.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi")
-    if not stay.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    members = ngram_join.members(docs, width=5, percent=75, carry=[_row_key(docs)])
+    copies = members.where("label is not null").groupBy("label", "doc_id", KEY).agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", KEY, "n"))
+    heads = copies.groupBy("label").agg(first.alias("head")).select(f"head.{KEY}", "head.n")
+    alone = members.where("label is null").select(KEY, F.lit(1).cast("long").alias("n")).distinct()
+    stay = write_table(heads.union(alone), new_path(spark, "stay"))
+    keyed = docs.select("*", _row_key(docs))
+    kept = keyed.join(stay.where("n = 1"), KEY, "left_semi")
+    repeated = stay.where("n > 1")
+    if not repeated.isEmpty():
+        kept = kept.union(keyed.join(repeated, KEY, "left_semi").dropDuplicates(["doc_id", KEY]))
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

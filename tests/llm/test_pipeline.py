@@ -78,3 +78,16 @@ def test_stages_take_empty_tables(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == 0 and (name == "best_fit_packing" or out.columns == docs.columns)
+
+
+def test_ngram_join_goes_by_row(spark):
+    rng = random.Random(5)
+    a, b, c, d, e, f, g = (prose(rng, 80, 9000) for _ in range(7))
+    rows = [(3, b), (5, a), (5, b + " near"), (6, c), (6, c), (6, d), (6, d.upper()), (8, c + " more"), (None, e), (None, e), (None, f), (9, f), (7, ""), (7, ""), (None, None), (10, g), (10, g + " tail")]
+    docs = frame(spark, rows)
+    got = rows_of(corpus_pipeline.ngram_join_stage(spark, docs, ""))
+    sure = [(3, b), (5, a), (6, c), (None, e), (9, f), (7, ""), (7, ""), (None, None)]
+    assert [x for x in got if x[0] != "10" and x[1].lower() != d] == sorted((str(i), t or "") for i, t in sure)
+    assert [i for i, t in got if t.lower() == d] == ["6"] and [i for i, _ in got].count("10") == 1
+    # however rows are dealt, the same ones stay
+    assert rows_of(corpus_pipeline.ngram_join_stage(spark, docs.repartition(5).orderBy("text"), "")) == got
