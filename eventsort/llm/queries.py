@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_nbest import encode
 
-    return encode(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), keep_ids=False)
+    return encode(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), keep_ids=False, n_best=5)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,10 +10,12 @@ lattice here takes any model's pieces and scores as such.)
 
 No piece spans two characters that stand side by side in none, so a text falls
 into *units* that can be solved alone: the best path is the units' best paths,
-and the N best come from units with the smallest losses. Units repeat, so each
-worker remembers solved units, a bounded number of them.
+and the N best come from the N - 1 units with the smallest losses. Units repeat,
+so each worker remembers solved units, a bounded number of them: of most only the
+best path and the loss of the second, of those N - 1 all N paths.
 
-Cases: a null text counts as empty, has no pieces, score 0 and no second path;
+Cases: a null text counts as empty, has one path without pieces and of score 0;
+a text with fewer than N segmentations has as many paths as there are;
 null ids and repeated rows stay; an empty table gives an empty table; other
 columns are ignored, whatever their names.
 """
@@ -40,6 +42,8 @@ from .textnum import give_back
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
 #: Units that a worker remembers.
 CACHE_UNITS = 1_200_000
+#: Units whose N best paths a worker remembers.
+CACHE_TOPS = 50_000
 
 Path = tuple[float, tuple[int, ...]]
 
@@ -70,6 +74,7 @@ class PieceModel:
         self.surface = [bytes([int(p[3:5], 16)]) if byte else b"" if other else p.replace(SPACE, " ").encode() for p, (byte, other) in zip(self.pieces, kinds, strict=True)]
         self.rough = self._rough()
         self.solved: dict[str, tuple] = Remembered(self._solve, CACHE_UNITS)
+        self.tops: dict[str, Sequence[tuple[float, bytes]]] = {}
 
     def _rough(self) -> re.Pattern:
         """Cuts texts where no piece goes across: before spaces, and between letters and others."""
@@ -134,37 +139,53 @@ class PieceModel:
 
     # --- texts ---
 
-    def _part(self, part: str) -> tuple:
-        return tuple((s, array("I", ids).tobytes()) for s, ids in self.paths(part, self.n_best))
+    def _part(self, part: str, n: int) -> tuple:
+        return tuple((s, array("I", ids).tobytes()) for s, ids in self.paths(part, n))
 
     def _solve(self, unit: str) -> tuple:
-        """(ids of the best path, its score, the second's loss, all) of a rough unit."""
-        tops = self._tops(unit)
+        """(ids of the best path, its score, the second's loss) of a rough unit."""
+        tops = self._tops(unit, 2)
         return tops[0][1], tops[0][0], tops[0][0] - tops[1][0] if len(tops) > 1 else inf
 
-    def _tops(self, unit: str) -> Sequence[tuple[float, bytes]]:
+    def _tops(self, unit: str, n: int) -> Sequence[tuple[float, bytes]]:
         cuts = [0, *[k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.adjacent], len(unit)]
         if len(cuts) == 2:
-            return self._part(unit)
-        return combine([self._part(unit[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], self.n_best)
+            return self._part(unit, n)
+        return combine([self._part(unit[a:b], n) for a, b in zip(cuts, cuts[1:], strict=False)], n)
+
+    def _remembered_tops(self, unit: str) -> Sequence[tuple[float, bytes]]:
+        found = self.tops.get(unit)
+        if found is None:
+            if len(self.tops) >= CACHE_TOPS:
+                self.tops.clear()
+            found = self.tops[unit] = self._tops(unit, self.n_best)
+        return found
 
     @staticmethod
     def normalise(text: str) -> str:
         """The identity rule with a space before the text: spaces are written as pieces write them."""
         return (SPACE + text.replace(" ", SPACE)) if text else ""
 
-    def solve(self, text: str) -> tuple[bytes, float, float | None]:
-        """(ids, score, loss of the second best path or None) of a text."""
+    def solve(self, text: str) -> list[tuple[float, bytes]]:
+        """The ``n_best`` best (score, ids) of a text, best first."""
         if not text:
-            return b"", 0.0, None
-        ids, scores, losses = zip(*map(self.solved.__getitem__, self.rough.findall(self.normalise(text))), strict=True)
-        loss = min(losses)
-        return b"".join(ids), sum(scores), loss if loss < inf else None
+            return [(0.0, b"")]
+        units = self.rough.findall(self.normalise(text))
+        ids, scores, losses = zip(*map(self.solved.__getitem__, units), strict=True)
+        best = sum(scores)
+        few = [k for k in heapq.nsmallest(self.n_best - 1, range(len(units)), key=losses.__getitem__) if losses[k] < inf]
+        out = [(best, b"".join(ids))]
+        for loss, which in options({k: self._remembered_tops(units[k]) for k in few}, self.n_best)[1:]:
+            parts = list(ids)
+            for k, j in which.items():
+                if j:
+                    parts[k] = self._remembered_tops(units[k])[j][1]
+            out.append((best - loss, b"".join(parts)))
+        return out
 
     def n_best_of(self, text: str) -> list[tuple[float, list[int]]]:
-        """The ``n_best`` best (score, ids) of a text, best first."""
-        units = [self._tops(u) for u in self.rough.findall(self.normalise(text))]
-        return [(s, list(array("I", ids))) for s, ids in combine(units, self.n_best)]
+        """The same, with lists of ids."""
+        return [(s, list(array("I", ids))) for s, ids in self.solve(text)]
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text that pieces stand for, without the space put before it."""
@@ -172,17 +193,22 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
+def options(lists: dict[int, Sequence[tuple[float, bytes]]], n: int) -> list[tuple[float, dict[int, int]]]:
+    """The ``n`` least (loss, which entry of each list), the first of no loss; entries are best first."""
+    out: list[tuple[float, dict[int, int]]] = [(0.0, {})]
+    for k, entries in lists.items():
+        top = entries[0][0]
+        out = heapq.nsmallest(n, [(loss + top - s, {**which, k: j}) for loss, which in out for j, (s, _) in enumerate(entries)], key=lambda o: o[0])
+    return out
+
+
 def combine(lists: Sequence[Sequence[tuple[float, bytes]]], n: int) -> list[tuple[float, bytes]]:
     """The ``n`` best sums of one entry from each list; entries are best first.
 
     Only lists whose second entry loses least can differ from their first."""
     few = sorted((k for k, x in enumerate(lists) if len(x) > 1), key=lambda k: lists[k][0][0] - lists[k][1][0])[: n - 1]
     base = sum([x[0][0] for x in lists])
-    options: list[tuple[float, dict[int, int]]] = [(0.0, {})]
-    for k in few:
-        top = lists[k][0][0]
-        options = heapq.nsmallest(n, [(loss + top - s, {**which, k: j}) for loss, which in options for j, (s, _) in enumerate(lists[k])], key=lambda o: o[0])
-    return [(base - loss, b"".join([x[which.get(k, 0)][1] for k, x in enumerate(lists)])) for loss, which in options]
+    return [(base - loss, b"".join([x[which.get(k, 0)][1] for k, x in enumerate(lists)])) for loss, which in options({k: lists[k] for k in few}, n)]
 
 
 @lru_cache(2)
@@ -190,34 +216,41 @@ def load(path: str, n_best: int) -> PieceModel:
     return PieceModel(path, n_best)
 
 
-def encode(docs: DataFrame, model_path: str, keep_ids: bool = True) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, score, second_score, round_trip[, ids]) of every row.
+def encode(docs: DataFrame, model_path: str, keep_ids: bool = True, n_best: int = 5) -> DataFrame:
+    """(doc_id, n_pieces, ids_crc32, score, second_score, round_trip, n_best[, ids]) of every row.
 
     ``score``, ``second_score``: of the best and the next best segmentation (null if
     there is one only); ``round_trip``: whether decoding gives the text back;
-    ``ids``: little-endian unsigned 32-bit numbers."""
+    ``n_best``: (rank, n_pieces, ids_crc32, score[, ids]) of the ``n_best`` best
+    segmentations, best first; ``ids``: little-endian unsigned 32-bit numbers."""
+    if n_best < 2:
+        raise ValueError("n_best must be 2 at least, for second_score")
+    fields = {"rank": pa.int32(), "n_pieces": pa.int64(), "ids_crc32": pa.int64(), "score": pa.float64()} | ({"ids": pa.binary()} if keep_ids else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path, 2)
+        model = load(model_path, n_best)
         for batch in batches:
-            count, crc, score, second, same, kept = [], [], [], [], [], []
+            second, same, starts = [], [], [0]
+            paths: list[tuple] = []
             for text in batch.column(1).to_pylist():
                 text = text or ""
-                ids, best, loss = model.solve(text)
-                count.append(len(ids) // 4)
-                crc.append(zlib.crc32(ids))
-                score.append(best)
-                second.append(None if loss is None else best - loss)
-                same.append(model.decode(memoryview(ids).cast("I")) == text)
-                if keep_ids:
-                    kept.append(ids)
-            arrays = [batch.column(0), pa.array(count, pa.int64()), pa.array(crc, pa.int64()), pa.array(score, pa.float64()), pa.array(second, pa.float64()), pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * keep_ids, names=["doc_id", "n_pieces", "ids_crc32", "score", "second_score", "round_trip"] + ["ids"] * keep_ids)
+                found = model.solve(text)
+                paths += [(k, len(ids) // 4, zlib.crc32(ids), score, ids)[: len(fields)] for k, (score, ids) in enumerate(found, 1)]
+                starts.append(len(paths))
+                second.append(found[1][0] if len(found) > 1 else None)
+                same.append(model.decode(memoryview(found[0][1]).cast("I")) == text)
+            columns = list(zip(*paths, strict=True)) if paths else [[] for _ in fields]
+            flat = {name: pa.array(c, t) for (name, t), c in zip(fields.items(), columns, strict=True)}
+            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays(list(flat.values()), names=list(flat)))
+            best = {name: c.take(pa.array(starts[:-1], pa.int32())) for name, c in flat.items()}
+            arrays = [batch.column(0), best["n_pieces"], best["ids_crc32"], best["score"], pa.array(second, pa.float64()), pa.array(same, pa.bool_()), lists]
+            yield pa.RecordBatch.from_arrays(arrays + ([best["ids"]] if keep_ids else []), names=["doc_id", "n_pieces", "ids_crc32", "score", "second_score", "round_trip", "n_best"] + ["ids"] * keep_ids)
         give_back()
 
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {type_of(rows, 'doc_id')}, n_pieces long, ids_crc32 long, score double, second_score double, round_trip boolean" + ", ids binary" * keep_ids)
+    path = "rank: int, n_pieces: long, ids_crc32: long, score: double" + ", ids: binary" * keep_ids
+    return rows.mapInArrow(run, f"doc_id {type_of(rows, 'doc_id')}, n_pieces long, ids_crc32 long, score double, second_score double, round_trip boolean, n_best array<struct<{path}>>" + ", ids binary" * keep_ids)
 
 
 def decode(rows: DataFrame, model_path: str) -> DataFrame:

@@ -158,6 +158,21 @@ def test_encoding_of_odd_texts(spark, odd, empty):
     assert sentencepiece_nbest.encode(empty, MODEL).count() == 0
 
 
+def test_encoding_gives_the_n_best(spark):
+    texts = ["the", "hello", "a  b", "x\ny", "日本 🙂", "don't", "", "a b"]
+    model = sentencepiece_nbest.PieceModel(MODEL)
+    rows = sentencepiece_nbest.encode(frame(spark, list(enumerate(texts))), MODEL, n_best=5).collect()
+    for r in rows:
+        text = texts[r["doc_id"]]
+        expected = sorted((s for s, _ in every_path(model, model.normalise(text))), reverse=True)[:5]
+        assert [x["score"] for x in r["n_best"]] == pytest.approx(expected) and [x["rank"] for x in r["n_best"]] == list(range(1, len(expected) + 1))
+        ids = [list(np.frombuffer(x["ids"], np.uint32)) for x in r["n_best"]]
+        assert all(model.decode(x) == text for x in ids) and len(set(map(tuple, ids))) == len(ids) and [len(x) for x in ids] == [x["n_pieces"] for x in r["n_best"]]
+        assert (r["n_best"][0]["ids_crc32"], r["n_best"][0]["score"]) == (r["ids_crc32"], r["score"])
+    shown = QUERIES["op1_sentencepiece_nbest"](spark, DATA).selectExpr("max(size(n_best)) AS most", "min(size(n_best)) AS least").first()
+    assert shown["most"] == 5
+
+
 # --- near duplicates ---
 
 
