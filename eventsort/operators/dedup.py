@@ -19,10 +19,14 @@ def flag(registry: DataFrame) -> DataFrame:
     least penalty, then the shortest name, then the first name, then the least seq.
 
     The primaries are aggregated before any row moves, so that a hash that a large
-    part of all files has is one row of the table that is joined."""
+    part of all files has is one row of the table that is joined. Files without a hash
+    stay and are one group, as in ``groups``."""
     key = F.struct(duplicate_penalty(F.col("file_name")).alias("p"), F.length("file_name").alias("n"), F.lower("file_name").alias("l"), F.col("seq").alias("s"))
-    primary = registry.groupBy("hash_sha256").agg(F.min_by("file_path", key).alias("primary_path"))
-    return registry.join(primary, "hash_sha256").withColumn("is_duplicate_secondary", F.col("file_path") != F.col("primary_path"))
+    primary = registry.groupBy(F.col("hash_sha256").alias("__hash")).agg(F.min_by("file_path", key).alias("primary_path"))
+    joined = registry.join(primary, F.col("hash_sha256").eqNullSafe(F.col("__hash")))
+    others = [f"`{c}`" for c in registry.columns if c != "hash_sha256"]
+    secondary = F.coalesce(F.col("file_path") != F.col("primary_path"), F.lit(False))
+    return joined.select("hash_sha256", *others, "primary_path").withColumn("is_duplicate_secondary", secondary)
 
 
 def ranked(registry: DataFrame) -> DataFrame:

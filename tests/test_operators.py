@@ -112,6 +112,13 @@ def test_duplicates(spark):
     assert {r["seq"]: r["copy_rank"] for r in dedup.ranked(df).collect()} == {3: 1, 5: 2, 2: 3, 1: 4, 4: 1}
 
 
+def test_files_without_a_hash_stay(spark):
+    rows = [(1, "a.jpg", None, "/1"), (2, "a copy.jpg", None, "/2"), (3, "b.jpg", "h", "/3"), (4, "b copy.jpg", "h", "/4"), (5, "c.jpg", "i", "/5")]
+    df = spark.createDataFrame(rows, "seq long, file_name string, hash_sha256 string, file_path string")
+    # as in the reference, which groups by any value
+    assert {r["seq"]: r["is_duplicate_secondary"] for r in dedup.flag(df).collect()} == {1: False, 2: True, 3: False, 4: True, 5: False}
+
+
 def test_naming_equals_allocation(spark):
     rng = random.Random(3)
     names = ["A.JPG", "a.jpg", "a__dup02.jpg", "a__dup03.jpg", "b.png", "noext", "NoExt", "a__dup02__dup02.jpg"]
