@@ -6,7 +6,8 @@ the count of every character of its class and the sum of c*log2(c). One step add
 the entering character and takes away the leaving one; the window's Shannon
 entropy is log2(window) - sum/window. A candidate is a secret if a window reaches
 its class's threshold, unless an allow-list pattern matches it or a base span
-overlaps it.
+overlaps it. The same holds for each of its parts between separators that is as
+long as a window, so that nothing beside a key hides it; the span is the whole run.
 
 A text is one row of one task: nothing is shuffled, exploded or collected.
 
@@ -47,16 +48,21 @@ class CharacterClass:
 CLASSES = (
     CharacterClass("hex", "0123456789ABCDEFabcdef", 2.9, ("[0-9]", "[A-Fa-f]")),
     CharacterClass("key", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-", 3.6, ("[0-9]", "[A-Z]", "[a-z]")),
+    # digits and one letter case, as in base36 and base32: digits in two places at least, which words with a number lack
+    CharacterClass("lower", "0123456789abcdefghijklmnopqrstuvwxyz", 3.5, ("[0-9]+[a-z]+[0-9]",)),
+    CharacterClass("upper", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 3.5, ("[0-9]+[A-Z]+[0-9]",)),
 )
 #: Candidates that match one of these are no secrets.
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$",  # identifiers in the usual form
     r"(?i)example|sample|dummy|placeholder|changeme",
     r"(?i)0123456789|abcdefghij|(.)\1{7}",
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    r"^[A-Za-z0-9]+([-_/][A-Za-z]+)*[-_/][0-9]{1,4}$",  # slugs with a number
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([-_/][A-Za-z]+)*([-_/T]?[0-9]{1,6})?$",  # dates, with words or a time
+    r"^[A-Za-z]+[0-9]{0,4}([-_/][A-Za-z]+)*[-_/][0-9]{1,4}$",  # slugs with a number
 )
 WINDOW = 20
+#: What parts of a candidate stand between.
+SEPARATOR = "[+/_=-]"
 #: Matches that are added up at a time.
 BLOCK = 256
 
@@ -147,9 +153,12 @@ def _suspicious(candidate: Column, classes: Sequence[CharacterClass], allowed: S
 def entropy_spans(text: Column, classes: Sequence[CharacterClass] = CLASSES, allowed: Sequence[str] = ALLOWED, window: int = WINDOW) -> Column:
     pattern = f"[A-Za-z0-9+/_=-]{{{window},}}"
     head = f"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{{window},}}"
+    part = f"[A-Za-z0-9]{{{window},}}"
     spans = match_spans(text, F.lit(True), pattern)
     texts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    judged = F.zip_with(spans, texts, lambda s, t: F.struct(s["start"].alias("start"), s["end"].alias("end"), _suspicious(t, classes, allowed, window).alias("bad")))
+    bad_part = lambda t: F.exists(F.regexp_extract_all(t, F.lit(part), F.lit(0)), lambda p: _suspicious(p, classes, allowed, window))
+    is_bad = lambda t: _suspicious(t, classes, allowed, window) | (t.rlike(SEPARATOR) & bad_part(t))
+    judged = F.zip_with(spans, texts, lambda s, t: F.struct(s["start"].alias("start"), s["end"].alias("end"), is_bad(t).alias("bad")))
     bad = F.transform(F.filter(judged, lambda x: x["bad"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     return F.when(text.rlike(head), bad).otherwise(_none())
 

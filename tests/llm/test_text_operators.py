@@ -354,6 +354,15 @@ def test_entropy_finds_keys_and_allows_others(spark):
     assert got == {1: [(4, 4 + len(key))], 2: [], 3: [], 4: [], 5: [], 6: []}
 
 
+def test_entropy_takes_one_letter_case_and_what_stands_beside_a_key(spark):
+    key = "Zx9kQ2mV7rT4wY8bN3cLp6"
+    secret = ["x7k9q2m4w8r3t5y6z1p0", "J3B5W2XK7QZL4MNP6RTD", f"{key}-42", f"{key}_42", f"{key}/42", f"2024-01-02-{key}", f"samples/{key}", f"example={key}", "path/x7k9q2m4w8r3t5y6z1p0"]
+    clean = ["a-very-long-slug-of-words-2024", "2024-01-02-weekly-notes-of-us", f"{key}EXAMPLE", "internationalization2024", "AVERYLONGHEADINGOFWORDS7", "example-of-a-long-path-2024", "0123456789abcdefghijk"]
+    texts = [(k, f"say {t} now") for k, t in enumerate(secret + clean)]
+    got = {r["doc_id"]: [tuple(s) for s in r["entropy"]] for r in secrets.scan(frame(spark, texts)).collect()}
+    assert got == {k: [(4, 4 + len(t))] if k < len(secret) else [] for k, t in enumerate(secret + clean)}
+
+
 def test_redaction(spark, empty):
     texts = [(1, 'é token = "abcdefgh1234" end'), (2, None), (3, "clean"), (4, "AKIA" + "A1" * 10 + " x " + "0a" * 15)]
     got = {r["doc_id"]: r["text"] for r in secrets.redact(secrets.scan(frame(spark, texts))).collect()}
