@@ -23,8 +23,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: First code point that the compiled pattern does not cover, and its first UTF-8 byte.
 LIMIT, LIMIT_BYTE = 0x530, 0xD4
-#: Pre-tokens that a worker remembers, and those of them that it never forgets.
-CACHE_ENTRIES, CACHE_CORE = 450_000, 150_000
+#: Pre-tokens that a worker remembers, those of them that it never forgets, and the
+#: characters of the longest that it remembers: together they bound a cache's bytes.
+CACHE_ENTRIES, CACHE_CORE, CACHE_CHARS = 450_000, 150_000, 64
 
 _HIGH = re.compile(f"[\\u{LIMIT:04x}-\\U0010ffff]")
 
@@ -95,19 +96,21 @@ def heap_merge_count(symbols: list[int], pairs: dict[tuple[int, int], tuple[int,
 
 class Remembered(dict):
     """Results of ``make`` by word. Once ``entries`` are held, all but the first
-    ``CACHE_CORE`` go: frequent words come early."""
+    ``CACHE_CORE`` go: frequent words come early. Words of more than ``CACHE_CHARS``
+    characters are made anew each time."""
 
     def __init__(self, make: Callable[[str], object], entries: int = CACHE_ENTRIES):
         super().__init__()
         self.make, self.entries = make, entries
 
     def __missing__(self, word: str):
+        if len(word) > CACHE_CHARS:
+            return self.make(word)
         if len(self) >= self.entries:
             self.shrink()
         made = self[word] = self.make(word)
         return made
 
-
     def shrink(self) -> None:
         """Keeps the core. Workers outlive tasks, so a task ends with this."""
         if len(self) > CACHE_CORE:

@@ -165,12 +165,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Learns from at most ``sample_rows`` labelled documents, chosen by hash of the id.
 
     ``labels``: doc_id and quality, 0 for bad. The sample's ids are bounded, so
-    they are broadcast and no text moves; only its statistics reach the driver."""
+    they are broadcast and no text moves; only its statistics reach the driver, one
+    row for each id: where rows share an id, the one whose statistics hash least."""
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("rules"))
     chosen = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(order, "doc_id").limit(sample_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     judged = statistics(texts).join(F.broadcast(chosen), "doc_id").where(~base_failed())
-    rows = judged.select("quality", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("prune")), F.lit(3)).alias("part"), *(feature(k).alias(k) for k in FEATURES)).orderBy(*FEATURES, "quality", "part").limit(4 * sample_rows).collect()
+    shares = [feature(k).alias(k) for k in FEATURES]
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("prune")), F.lit(3)).alias("part")
+    seen = judged.select("doc_id", F.struct("quality", part, *shares).alias("seen"))
+    rows = [r["seen"] for r in seen.groupBy("doc_id").agg(F.min_by("seen", F.struct(F.xxhash64("seen"), "seen")).alias("seen")).orderBy("doc_id").collect()]
     values = {k: np.array([r[k] for r in rows], float) for k in FEATURES}
     return learn_from(values, np.array([r["quality"] == 0 for r in rows], bool), np.array([r["part"] == 0 for r in rows], bool))
 

@@ -11,8 +11,8 @@ lattice here takes any model's pieces and scores as such.)
 No piece spans two characters that stand side by side in none, so a text falls
 into *units* that can be solved alone: the best path is the units' best paths,
 and the N best come from the N - 1 units with the smallest losses. Units repeat,
-so each worker remembers solved units, a bounded number of them: of most only the
-best path and the loss of the second, of those N - 1 all N paths.
+so each worker remembers solved units, a bounded number of bounded length: of most
+only the best path and the loss of the second, of those N - 1 all N paths.
 
 Cases: a null text counts as empty, has one path without pieces and of score 0;
 a text with fewer than N segmentations has as many paths as there are;
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import Remembered
+from .bytebpe import CACHE_CHARS, Remembered
 from .store import small_batches, type_of
 from .textnum import give_back
 
@@ -156,9 +156,11 @@ class PieceModel:
     def _remembered_tops(self, unit: str) -> Sequence[tuple[float, bytes]]:
         found = self.tops.get(unit)
         if found is None:
-            if len(self.tops) >= CACHE_TOPS:
-                self.tops.clear()
-            found = self.tops[unit] = self._tops(unit, self.n_best)
+            found = self._tops(unit, self.n_best)
+            if len(unit) <= CACHE_CHARS:
+                if len(self.tops) >= CACHE_TOPS:
+                    self.tops.clear()
+                self.tops[unit] = found
         return found
 
     @staticmethod
