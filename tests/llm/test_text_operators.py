@@ -215,10 +215,19 @@ def families(rng):
     return texts
 
 
-@pytest.mark.parametrize("parts", [3000, 3])
-def test_join_equals_brute_force(spark, parts, monkeypatch):
+@pytest.mark.parametrize(("parts", "hot"), [(3000, 20_000), (3, 20_000), (3, 2), (5, 0)])
+def test_join_equals_brute_force(spark, parts, hot, monkeypatch):
+    """Also with blocks that are cut into parts and with cells that count as hot."""
     monkeypatch.setattr(ngram_join, "PART_SETS", parts)
-    texts = families(random.Random(parts)) + odd_texts_with_new_ids()
+    monkeypatch.setattr(ngram_join, "HOT_CELL", hot)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    texts = families(random.Random(parts + hot)) + odd_texts_with_new_ids()
+    rows = ngram_join.join(frame(spark, texts)).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows) == components(texts)
+
+
+@pytest.mark.parametrize("texts", [[(1, "one two three four five six seven")], [(1, "a b c d e f"), (2, "g h i j k l"), (3, "short")], [(1, None), (2, "")]])
+def test_join_where_nothing_repeats(spark, texts):
     rows = ngram_join.join(frame(spark, texts)).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows) == components(texts)
 
