@@ -287,13 +287,38 @@ def test_dedup_equals_brute_force(spark, width, batches):
         assert hashlib.sha256(" ".join(words(t)).encode()).hexdigest() == sha
 
 
-def test_index_learns_batch_by_batch(spark):
-    index = substring_dedup.FingerprintIndex(spark, width=3, buckets=4, fan_in=2)
-    for k in range(4):
-        docs = spark.createDataFrame([(10 * k + j, f"alpha beta gamma d{k}{j} e{k}{j} f{k}{j}") for j in range(2)], "doc_id long, text string")
-        index.add(substring_dedup.fingerprints(docs, 3, 4))
-        assert len(index.runs) == 1
-    assert sorted(r["doc_id"] for r in index.repeated().collect()) == [1, 10, 11, 20, 21, 30, 31]
+def test_index_of_several_sessions(spark, tmp_path):
+    """Runs are compacted level by level, and a later session goes on where one stopped."""
+    folder = f"file://{tmp_path}/index"
+    index, found, levels = substring_dedup.FingerprintIndex(spark, width=3, buckets=4, fan_in=2, folder=folder), {}, []
+    for k in range(5):
+        if k in (2, 4):
+            index = substring_dedup.FingerprintIndex.open(spark, folder)
+        docs = spark.createDataFrame([(10 * k + j, f"alpha beta gamma d{k}{j} e{k}{j} f{k}{j}", "kept") for j in range(2)] + [(None, "alpha beta gamma", "kept")], "doc_id long, text string, lang string")
+        found |= {r["doc_id"]: (r["n_removed"], r["text"], r["lang"]) for r in index.add_documents(docs, ["lang"]).collect()}
+        levels.append(sorted(level for level, _ in index.runs))
+    assert levels == [[0], [1], [0, 1], [2], [0, 2]]
+    assert found.pop(None) == (0, "alpha beta gamma", "kept")
+    assert {i: n for i, (n, _, _) in found.items()} == {10 * k + j: 3 * (10 * k + j > 0) for k in range(5) for j in range(2)}
+    assert found[41] == (3, "d41 e41 f41", "kept")
+
+
+def test_a_match_needs_both_hashes():
+    h, check = np.array([3, 5, 5, 9], np.uint64), np.array([1, 1, 7, 2], np.uint32)
+    run_h, run_check = np.array([3, 5, 5, 8], np.uint64), np.array([2, 4, 7, 2], np.uint32)
+    assert substring_dedup._in_run(h, check, run_h, run_check).tolist() == [False, False, True, False]
+
+
+def test_a_passage_of_every_row_is_combined(spark, monkeypatch):
+    """It takes an entry for every task's share, not for every row, also in rows of one id."""
+    monkeypatch.setattr(substring_dedup, "COMBINE", 2000)
+    passage = prose(random.Random(8), 20)
+    texts = [(k // 2 if k < 60 else 7 if k < 120 else k, f"{passage} x{k}") for k in range(400)]
+    docs = substring_dedup._rows(frame(spark, texts), ()).repartition(3)
+    rows = substring_dedup.fingerprints(docs, 13, 4).where("kind = 'in'").selectExpr("sum(length(hashes) / 8) AS n").first()
+    assert rows["n"] < 400 + 8 * 3 * (3 + 60)  # one window a row is its own
+    got = substring_dedup.deduplicate(frame(spark, texts), 13).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == deduplicated(texts, 13)
 
 
 def test_dedup_of_nothing(empty):
