@@ -56,8 +56,9 @@ from pyspark.sql import functions as F
 from .store import drop_table, new_path, read_text, release, small_batches, type_of, write_table, write_text
 from .textnum import Words, blob_values, chunks, give_back, mix, ngram_hashes
 
-#: Hashes that a bucket holds, about; bytes of text to a word, about, and words to a minimizer.
-BUCKET_HASHES, WORD_BYTES, SPARSE = 1_000_000, 6, 5
+#: Hashes that a bucket holds at most, about; bytes of text to a word, about, and words to
+#: a minimizer or to a window whose minimizer is shared.
+BUCKET_HASHES, WORD_BYTES, SPARSE = 2_000_000, 6, 5
 #: Words of the parts whose least hash is a window's minimizer.
 ANCHOR = 5
 #: Hashes that a task combines at a time.
@@ -512,11 +513,11 @@ def deduplicate(docs: DataFrame, width: int = 13, batches: int = 3, carry: Seque
     rows = _rows(docs, carry)
     known = rows.where("doc_id is not null").select("doc_id", "text", SAME)
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    words = size // WORD_BYTES
-    index = FingerprintIndex(spark, width, 16 + words // 3 // BUCKET_HASHES)
+    buckets = 16 + size // WORD_BYTES // SPARSE // BUCKET_HASHES
+    index = FingerprintIndex(spark, width, buckets)
     borders = sorted({int(x) for x in known.approxQuantile("doc_id", [(k + 1) / batches for k in range(batches - 1)], 0.01)}) if size and batches > 1 else []
     path = new_path(spark, "windows")
-    repeatable(known, width, index.buckets, 16 + words // SPARSE // BUCKET_HASHES, borders).write.partitionBy("kind", "batch").parquet(path)
+    repeatable(known, width, buckets, buckets, borders).write.partitionBy("kind", "batch").parquet(path)
     release(spark)
     blocks = spark.read.schema(_IN).parquet(path)
     for k in range(len(borders) + 1):
