@@ -8,22 +8,29 @@ elsewhere. Viterbi finds the likeliest roles; lines without a marker, or with on
 that says nothing, get theirs from their surroundings. Consecutive lines of one
 role and row are a turn, rendered as ``<|role|>``, its text, ``<|end|>``.
 
+A marker is taken out of the text only where the path agrees with it and a turn
+begins there, that is on a row's first line or where the role changes; anywhere
+else it is text, so nothing else of a text is lost. Words that are common in
+ordinary text are markers only in rows without a known speaker, letters never are.
+
 Conversations may be of any length: rows are dealt by ranges of (conversation,
-turn), so that a long one spans tasks. The best way through a run of lines from
-each state to each is a small matrix; the driver chains the matrices of the first
-and last conversation of every range (two at most, whatever the input) and tells
-each range the states at its borders.
+turn), so that a long one spans tasks, and the number of ranges follows the bytes.
+The best way through a run of lines from each state to each is a small matrix; the
+driver chains the matrices of the first and last conversation of every range (two
+of nine numbers at most) and tells each range the states at its borders.
 
 Cases: null text is one empty line; unknown, empty or null speakers are no
 marker; a null conversation is one of its own; rows with equal turns are ordered
-by speaker and text; repeated rows are repeated turns; an empty table gives no
-rows; other columns are ignored, whatever their names.
+by speaker and a hash of the text; repeated rows are repeated turns, and may span
+tasks too; an empty table gives no rows; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +41,17 @@ from .store import new_path, type_of, write_table
 
 ROLES = ("system", "user", "assistant")
 
-# What speakers are called.
+# What given speakers are called.
 NAMES = {
     "system": "system", "instruction": "system", "instructions": "system", "context": "system",
     "user": "user", "human": "user", "customer": "user", "prompter": "user", "question": "user", "q": "user",
     "assistant": "assistant", "bot": "assistant", "ai": "assistant", "model": "assistant", "agent": "assistant", "answer": "assistant", "a": "assistant",
 }
-_MARKER = re.compile(r"[\s\[<(*#|]*(" + "|".join(sorted(NAMES, key=len, reverse=True)) + r")[\s\])>*|]*:[ \t]*", re.IGNORECASE)
+# Names that mark a speaker within a text, and those that do so only in rows without a known speaker.
+MARKERS, LOOSE = ("system", "user", "human", "assistant"), ("customer", "prompter", "bot", "ai", "agent")
+_MARKER = re.compile(r"[\s\[<(*#|]*(" + "|".join(MARKERS + LOOSE) + r")[\s\])>*|]*:[ \t]*", re.IGNORECASE)
+#: Bytes of text, and rows, that a range of rows holds, about.
+RANGE_BYTES, RANGE_ROWS = 32 << 20, 200_000
 
 #: The model: probabilities by role in the order of ROLES.
 START = np.log([0.30, 0.65, 0.05])
@@ -57,19 +68,43 @@ def _nudge(turn: int | None, line: int) -> np.ndarray:
     return np.array([zlib.crc32(f"{turn}:{line}:{k}".encode()) for k in range(len(ROLES))]) * (1e-6 / 2**32)
 
 
-def _lines(text: str | None, speaker: str | None, turn: int | None = None) -> list[tuple[bool, np.ndarray, str]]:
-    """(whether a turn may begin, emission by role, text without marker) of a row's lines."""
+class Line(NamedTuple):
+    """A line: whether a turn may begin, emission by role, its text, its marker's role and the text after the marker."""
+
+    begins: bool
+    score: np.ndarray
+    text: str
+    marked: int | None
+    rest: str
+
+
+def _lines(text: str | None, speaker: str | None, turn: int | None = None) -> list[Line]:
+    """The lines of a row."""
     out = []
+    given = NAMES.get((speaker or "").strip().lower())
     for k, line in enumerate((text or "").split("\n")):
         found = _MARKER.match(line)
-        body = line[found.end() :] if found else line
-        names = ([NAMES.get((speaker or "").strip().lower())] if not k else []) + ([NAMES[found[1].lower()]] if found else [])
-        n = len(body)
-        score = LONG[:, 0 if n < 60 else 1 if n < 300 else 2] + ASKS[:, int(body.rstrip().endswith("?"))] + _nudge(turn, k)
-        for name in names:
+        if found and given and found[1].lower() in LOOSE:
+            found = None
+        rest = line[found.end() :] if found else line
+        marked = NAMES[found[1].lower()] if found else None
+        n = len(rest)
+        score = LONG[:, 0 if n < 60 else 1 if n < 300 else 2] + ASKS[:, int(rest.rstrip().endswith("?"))] + _nudge(turn, k)
+        for name in (marked, None if k else given):
             if name:
                 score = score + np.where(np.array(ROLES) == name, MARKED, OTHER)
-        out.append((not k or found is not None, score, body))
+        out.append(Line(not k or marked is not None, score, line, ROLES.index(marked) if marked else None, rest))
+    return out
+
+
+def _turns(lines: list[Line], states: list[int]) -> list[tuple[int, list[str]]]:
+    """(role, lines) of the turns of a row. A marker goes where a turn of its role begins."""
+    out: list[tuple[int, list[str]]] = []
+    for line, state in zip(lines, states, strict=True):
+        new = not out or out[-1][0] != state
+        if new:
+            out.append((state, []))
+        out[-1][1].append(line.rest if new and line.marked == state else line.text)
     return out
 
 
@@ -83,7 +118,7 @@ def _through(lines: list, first: bool) -> np.ndarray:
 
     ``first``: the conversation begins here, so the state before says nothing."""
     out = None
-    for begins, score, _ in lines:
+    for begins, score, *_ in lines:
         if out is None:
             step = (np.broadcast_to(START, (3, 3)) if first else TURN if begins else STAY) + score
             out = step
@@ -95,7 +130,7 @@ def _through(lines: list, first: bool) -> np.ndarray:
 def _viterbi(lines: list, before: int | None, last: int | None) -> list[int]:
     """States of ``lines`` given the state before them and, if known, the last state."""
     best, back = None, []
-    for begins, score, _ in lines:
+    for begins, score, *_ in lines:
         if best is None:
             best = (START if before is None else (TURN if begins else STAY)[before]) + score
             continue
@@ -158,7 +193,8 @@ def _border_states(found: list) -> dict[int, tuple[int | None, int | None]]:
             scores.append((scores[-1][:, None] + m).max(0))
         state = int(scores[-1].argmax())
         for k in range(len(run) - 1, -1, -1):
-            after[run[k]["pid"]] = state
+            if run[k]["at"] == run[k]["n"] - 1:  # else another conversation ends the range
+                after[run[k]["pid"]] = state
             if k:
                 state = int((scores[k - 1] + matrices[k][:, state]).argmax())
                 before[run[k]["pid"]] = state
@@ -174,8 +210,12 @@ def format_chats(rows: DataFrame) -> DataFrame:
     rows (conv_id, turn, role, text). ``part`` counts the turns within a row."""
     spark = rows.sparkSession
     picked = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    order = ["conv_id", "turn", "role", F.xxhash64("text")]
-    dealt = picked.repartitionByRange(*order).sortWithinPartitions(*order)
+    size = picked.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    ranges = max((size["bytes"] or 0) // RANGE_BYTES, size["rows"] // RANGE_ROWS)
+    more = [ranges] if ranges > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+    # rows that are equal in all columns are told apart, so that they too can span ranges; which is which doesn't show
+    order = ["conv_id", "turn", "role", F.xxhash64("text"), "copy"]
+    dealt = picked.withColumn("copy", F.monotonically_increasing_id()).repartitionByRange(*more, *order).sortWithinPartitions(*order).drop("copy")
     table = write_table(dealt.select("*", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("number")), new_path(spark, "turns"))
     found = table.groupBy("pid").applyInArrow(_borders, "pid int, at int, n int, conv string, first array<double>, next array<double>").collect()
     states = _border_states([r.asDict() for r in found])
@@ -190,18 +230,12 @@ def format_chats(rows: DataFrame) -> DataFrame:
             lines = [_lines(texts[i], speakers[i], numbers[i]) for i in range(a, b)]
             path = iter(_viterbi([x for row in lines for x in row], before if not k else None, after if k == len(ranges) - 1 else None))
             for i, row in zip(range(a, b), lines, strict=True):
-                turns: list[tuple[int, list[str]]] = []
-                for begins, _, body in row:
-                    state = next(path)
-                    if not turns or turns[-1][0] != state or (begins and turns):
-                        turns.append((state, []))
-                    turns[-1][1].append(body)
-                for j, (state, bodies) in enumerate(turns):
+                for j, (state, kept) in enumerate(_turns(row, [next(path) for _ in row])):
                     at.append(i)
                     index.append(j)
                     roles.append(ROLES[state])
-                    counts.append(len(bodies))
-                    rendered.append(render(ROLES[state], "\n".join(bodies)))
+                    counts.append(len(kept))
+                    rendered.append(render(ROLES[state], "\n".join(kept)))
         take = pa.array(at, pa.int64())
         return pa.table({"conv_id": part.column("conv_id").take(take), "turn": part.column("turn").take(take), "part": pa.array(index, pa.int32()), "given_role": part.column("role").take(take), "role": pa.array(roles, pa.string()), "n_lines": pa.array(counts, pa.int64()), "rendered": pa.array(rendered, pa.string())})
 

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -115,12 +117,76 @@ def test_long_conversations_span_tasks(spark, partitions):
     expected = []
     for (_, turn, _, _), row in zip(mine, lines, strict=True):
         states = [next(path) for _ in row]
-        cuts = [k for k, (begins, _, _) in enumerate(row) if not k or begins or states[k] != states[k - 1]]
+        cuts = [k for k in range(len(row)) if not k or states[k] != states[k - 1]]
         expected += [(turn, j, chat.ROLES[states[k]]) for j, k in enumerate(cuts)]
     assert sorted((r["turn"], r["part"], r["role"]) for r in found if r["conv_id"] == 1) == sorted(expected)
     assert sum(r["conv_id"] != 1 for r in found) == 9
 
 
+def emission(line, speaker, first, turn, k):
+    """Log probabilities of a line by role, written out."""
+    marker = re.match(r"(?i)[\s\[<(*#|]*(system|user|human|assistant|customer|prompter|bot|ai|agent)[\s\])>*|]*:[ \t]*", line)
+    given = {"user": 1, "human": 1, "assistant": 2, "system": 0}.get((speaker or "").strip().lower())
+    if marker and given is not None and marker[1].lower() in ("customer", "prompter", "bot", "ai", "agent"):
+        marker = None
+    body = line[marker.end() :] if marker else line
+    word = {"system": 0, "user": 1, "human": 1, "customer": 1, "prompter": 1}.get(marker[1].lower(), 2) if marker else None
+    out = []
+    for r in range(3):
+        p = chat.LONG[r, (len(body) >= 60) + (len(body) >= 300)] + chat.ASKS[r, int(body.rstrip().endswith("?"))]
+        for said in (word, given if first else None):
+            if said is not None:
+                p += chat.MARKED if said == r else chat.OTHER
+        out.append(p + chat._nudge(turn, k)[r])
+    return out, first or marker is not None
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_roles_are_the_likeliest_of_all_paths(spark, seed):
+    """Against the scores of every path, without the operator's own lines or search."""
+    rng = random.Random(seed)
+    texts = ["", "why?", "x" * 70, "User: a\nb", "A: first point", "Context: the lake", "Agent: hi\nthen", "Assistant: yes", "z" * 310, None]
+    rows = [(1, k, rng.choice(["user", "assistant", None, "odd", "system"]), rng.choice(texts)) for k in range(5)]
+    found = sorted((r["turn"], r["part"], r["role"], r["n_lines"]) for r in chat.format_chats(turns(spark, rows)).collect())
+    lines = [(t, k, *emission(x, s, not k, t, k)) for _, t, s, text in rows for k, x in enumerate((text or "").split("\n"))]
+    best = max(
+        itertools.product(range(3), repeat=len(lines)),
+        key=lambda path: sum(lines[i][2][r] + (chat.START[r] if not i else (chat.TURN if lines[i][3] else chat.STAY)[path[i - 1], r]) for i, r in enumerate(path)),
+    )
+    expected: list = []
+    for (turn, k, _, _), r in zip(lines, best, strict=True):
+        if k and expected[-1][2] == chat.ROLES[r]:
+            expected[-1][3] += 1
+        else:
+            expected.append([turn, expected[-1][1] + 1 if k else 0, chat.ROLES[r], 1])
+    assert found == [tuple(x) for x in expected]
+
+
+def test_nothing_but_accepted_markers_is_lost(spark):
+    rng = random.Random(5)
+    texts = ["A: first point\nB: second", "Context: the lake", "q: odd", "User: hello\nUser: again", "Customer: ACME\nmodel: T", "Note: x\n\nAssistant: ok", "plain", "Answer: 42"]
+    rows = [(c, k, ("user", "assistant", None, "system")[rng.randrange(4)], rng.choice(texts)) for c in range(20) for k in range(6)]
+    out = {}
+    for r in sorted(chat.format_chats(turns(spark, rows)).collect(), key=lambda r: (r["conv_id"], r["turn"], r["part"])):
+        assert r["rendered"].startswith(f"<|{r['role']}|>\n") and r["rendered"].endswith("<|end|>\n")
+        out.setdefault((r["conv_id"], r["turn"]), []).append((r["role"], r["rendered"][len(r["role"]) + 5 : -8].split("\n")))
+    for c, k, _, text in rows:
+        left = iter(text.split("\n"))
+        for role, lines in out[c, k]:
+            for j, line in enumerate(lines):
+                whole = next(left)
+                assert line == whole or (j == 0 and re.fullmatch(rf"(?i)({'|'.join(n for n, r in chat.NAMES.items() if r == role and n in chat.MARKERS + chat.LOOSE)}): ", whole[: len(whole) - len(line)]) and whole.endswith(line))
+        assert next(left, None) is None
+    kept = {r["rendered"] for r in chat.format_chats(turns(spark, [(1, 0, "user", "A: first point"), (1, 1, "user", "Context: the lake"), (1, 2, "user", "Customer: ACME")])).collect()}
+    assert kept == {f"<|user|>\n{t}<|end|>\n" for t in ("A: first point", "Context: the lake", "Customer: ACME")}
+
+
+def test_one_repeated_row_spans_ranges(spark, monkeypatch):
+    monkeypatch.setattr(chat, "RANGE_ROWS", 50)
+    got = chat.format_chats(turns(spark, [(1, 0, "user", "same")] * 900 + [(2, 0, None, "Agent: hi")])).collect()
+    assert len(got) == 901 and {r["rendered"] for r in got} == {"<|user|>\nsame<|end|>\n", "<|assistant|>\nhi<|end|>\n"}
+
+
 def test_odd_conversations(spark):
     rows = [(1, 0, None, None), (1, 0, None, None), (None, None, "user", ""), (2, 0, "USER ", "y" * 200_000)]
     got = chat.format_chats(turns(spark, rows)).collect()
