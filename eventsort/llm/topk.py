@@ -1,17 +1,25 @@
 """Exact top-k inner products by the threshold algorithm.
 
-Candidates are dealt by hash to blocks of bounded size. In a block every
-dimension has a list of its rows sorted by value. A query walks all lists at
-once from the end that its sign prefers; rows that come up are scored in full;
-the sum of what the lists show at the present depth bounds the score of every
-row not yet seen, and the walk stops once that bound is below the k-th best
-score (equal is not enough, since ties go to the smaller id). Blocks' results
-are ranked together.
+Candidates are dealt to blocks of bounded size by the component that is largest, so
+that rows of a block point the same way, and within that by hash. In a block every
+dimension has a list of its rows sorted by value. A query walks all lists at once from
+the end that its sign prefers; rows that come up are scored in full; the sum of what
+the lists show at the present depth bounds the score of every row not yet seen, and
+the walk stops once that bound is below the k-th best score (equal is not enough,
+since ties go to the smaller id).
+
+A query first walks its *home* block, that of its own largest component. The k-th
+score there is its floor: in another block it walks only if the block's largest
+components allow a score that is not below the floor, and stops once the bound falls
+below it. Blocks' results are ranked together.
 
 Queries meet candidates block by block: a task holds one block of candidates and
 one of queries, never all of either. Scores are integers: components are
 floor(scale * x). They are computed exactly; beyond 64 bits they saturate.
 
+Of equal vectors only the ``k`` + 1 smallest ids are candidates: a query can use ``k``
+of them, and one may be its own. Of equal rows ``k`` are.
+
 Cases: vectors that are null, hold null or non-finite components or have no id
 take no part; vectors of different lengths don't meet; a query does not find rows
 of its own id; repeated rows are candidates each; a repeated query is answered
@@ -20,11 +28,15 @@ once; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from .store import new_path, write_table
+
 #: Candidates and queries that a task holds, about; depth of the first step of a walk.
 BLOCK_ROWS, QUERY_ROWS, STEP = 8_192, 2_048, 8
 
@@ -39,8 +51,12 @@ class SortedLists:
         self.order = np.argsort(rows, axis=0, kind="stable")
         self.sorted = np.take_along_axis(rows, self.order, 0)
 
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the best ``k`` rows whose id is not ``own``."""
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """What no row's score with each query exceeds."""
+        return np.maximum(queries, 0) @ self.sorted[-1] + np.minimum(queries, 0) @ self.sorted[0]
+
+    def top(self, query: np.ndarray, own: int, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the best ``k`` rows whose id is not ``own``; rows that score below ``floor`` may lack."""
         n = len(self.ids)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         seen = np.zeros(n, bool)
@@ -63,7 +79,7 @@ class SortedLists:
                 best = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[best], scores[best]
             bound = (self.sorted[n - to, up] * query[up]).sum() + (self.sorted[to - 1, down] * query[down]).sum()
-            if len(ids) == k and bound < scores.min():
+            if bound < floor or (len(ids) == k and bound < scores.min()):
                 break
             depth, step = to, step * 2
         best = np.lexsort((ids, -scores))
@@ -88,10 +104,15 @@ def _answer(k: int):
         out: list[tuple[int, int, int, int]] = []
         if len(rows) and len(asked):
             kind = _exact(rows, asked)
-            lists = SortedLists(candidates.column("vec_id").to_numpy(), rows.astype(kind))
-            for own, key, query in zip(queries.column("vec_id").to_pylist(), queries.column("key").to_pylist(), asked.astype(kind), strict=True):
-                ids, scores = lists.top(query, own, k)
-                out += [(own, key, i, min(2**63 - 1, max(-(2**63), int(s)))) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)]
+            copies = candidates.column("copies").to_numpy()
+            lists = SortedLists(np.repeat(candidates.column("vec_id").to_numpy(), copies), np.repeat(rows, copies, axis=0).astype(kind))
+            asked = asked.astype(kind)
+            floors = [-np.inf if x is None else x for x in queries.column("floor").to_pylist()]
+            bounds = lists.bounds(asked).tolist()
+            for own, key, query, floor, bound in zip(queries.column("vec_id").to_pylist(), queries.column("key").to_pylist(), asked, floors, bounds, strict=True):
+                if bound >= floor:
+                    ids, scores = lists.top(query, own, k, floor)
+                    out += [(own, key, i, min(2**63 - 1, max(-(2**63), int(s)))) for i, s in zip(ids.tolist(), scores.tolist(), strict=True) if s >= floor]
         columns = list(zip(*out, strict=True)) or [[]] * 4
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "query_key", "vec_id", "score"), columns, strict=True)})
 
@@ -106,18 +127,64 @@ def integer_vectors(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
     return vectors.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.xxhash64(v).alias("key"))
 
 
+def _axis() -> Column:
+    """The number of the largest component by size; below zero if that is negative. 0 for no components."""
+    sizes = F.transform("v", F.abs)
+    at = F.array_position(sizes, F.array_max(sizes)).cast("int")
+    return F.when(F.size("v") == 0, 0).otherwise(F.when(F.try_element_at("v", at) < 0, -at).otherwise(at))
+
+
+def _blocks(counts: Sequence[Row]) -> list[tuple[int, int, int, int]]:
+    """(dims, axis, first block, number of blocks): axes with few rows share a block."""
+    out, block, dims, held = [], -1, None, 0
+    for r in sorted(counts, key=lambda r: (r["dims"], r["axis"])):
+        many = 1 + r["n"] // BLOCK_ROWS
+        if many > 1 or r["dims"] != dims or held + r["n"] > BLOCK_ROWS:
+            out.append((r["dims"], r["axis"], block + 1, many))
+            block, held = block + many, r["n"] if many == 1 else BLOCK_ROWS
+        else:
+            out.append((r["dims"], r["axis"], block, 1))
+            held += r["n"]
+        dims = r["dims"]
+    return out
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` best other rows, or all if
     there are fewer; ties to the smaller id. ``is_query``: a condition on vec_id."""
+    spark = vectors.sparkSession
     rows = integer_vectors(vectors, scale)
-    asked = rows.where(is_query).dropDuplicates(["vec_id", "key"])
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(is_query.cast("int")), F.lit(0)).alias("q")).first()
-    blocks, parts = 1 + counts["n"] // BLOCK_ROWS, 1 + counts["q"] // QUERY_ROWS
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    counted = rows.groupBy("vec_id", "key").agg(F.any_value("v").alias("v"), F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies"))
+    few = F.row_number().over(Window.partitionBy("key", "v").orderBy("vec_id"))
+    placed = lambda df: df.select("*", F.size("v").alias("dims"), _axis().alias("axis"))
+    path = new_path(spark, "vectors")
+    candidates = write_table(placed(counted.withColumn("few", few).where(F.col("few") <= k + 1).drop("few")), path)
+    # two rows for each number of components and component, however many vectors there are
+    axes = _blocks(candidates.groupBy("dims", "axis").agg(F.count(F.lit(1)).alias("n")).collect())
+    plan = F.broadcast(spark.createDataFrame(axes, "dims int, axis int, first int, many int"))
+    block = (F.col("first") + F.pmod(F.xxhash64("vec_id", "key"), F.col("many").cast("long"))).cast("int")
+    asked = placed(rows.where(is_query).dropDuplicates(["vec_id", "key"])).join(plan, ["dims", "axis"], "left")
+    # a query is a candidate of others, or equal to one, so its own component has a block
+    asked = write_table(asked.select("vec_id", "v", "key", "dims", block.alias("home"), F.lit(None).cast("long").alias("floor")), new_path(spark, "queries"))
+    parts = 1 + asked.count() // QUERY_ROWS
+    dealt = candidates.join(plan, ["dims", "axis"]).select("vec_id", "v", "copies", "dims", block.alias("block"))
+
+    def meet(queries: DataFrame, blocks: Column, parts: Column, part: Column) -> DataFrame:
+        left = dealt.select("*", F.explode(parts).alias("part"))
+        right = queries.select("*", part.alias("part"), F.explode(blocks).alias("block"))
+        return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_answer(k), _OUT)
+
+    # a block is the home of as many queries as of its rows are, or of more if they are equal
+    most = asked.groupBy("home").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     number = lambda n: F.pmod(F.xxhash64("vec_id", "key"), F.lit(n)).cast("int")
-    left = rows.select("*", F.size("v").alias("dims"), number(blocks).alias("block"), every(parts).alias("part"))
-    right = asked.select("*", F.size("v").alias("dims"), every(blocks).alias("block"), number(parts).alias("part"))
-    keys = ("dims", "block", "part")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_answer(k), _OUT)
+    at_home = 1 + most // QUERY_ROWS
+    home = write_table(meet(asked, F.array("home"), F.sequence(F.lit(0), F.lit(at_home - 1)), number(at_home)), new_path(spark, "home"))
+    floors = home.groupBy("query_id", "query_key").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    known = asked.drop("floor").join(floors.select(F.col("query_id").alias("vec_id"), F.col("query_key").alias("key"), "floor"), ["vec_id", "key"], "left")
+    # blocks of vectors of one length have consecutive numbers
+    spans = plan.groupBy("dims").agg(F.min("first").alias("low"), F.max(F.col("first") + F.col("many") - 1).alias("high"))
+    every = F.filter(F.sequence("low", "high"), lambda b: b != F.col("home"))
+    away = meet(known.join(F.broadcast(spans), "dims"), every, F.sequence(F.lit(0), F.lit(parts - 1)), number(parts))
+    found = home.union(away)
     rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

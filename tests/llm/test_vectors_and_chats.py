@@ -42,6 +42,31 @@ def test_top_k_equals_brute_force(spark, block, monkeypatch):
     assert len(got) == len(brute(rows, 5))
 
 
+def test_a_floor_skips_and_stops():
+    rng = np.random.default_rng(3)
+    rows = np.round(rng.normal(0, 50, (3000, 6)))
+    lists = topk.SortedLists(np.arange(3000), rows)
+    queries = np.round(rng.normal(0, 50, (20, 6)))
+    assert (lists.bounds(queries) >= (rows @ queries.T).max(0)).all()
+    for q in queries:
+        ids, scores = lists.top(q, -1, 5)
+        for floor in (scores[-1], scores[2], scores[0] + 1):
+            some, theirs = lists.top(q, -1, 5, floor)
+            assert [(i, s) for i, s in zip(some, theirs, strict=True) if s >= floor] == [(i, s) for i, s in zip(ids, scores, strict=True) if s >= floor]
+
+
+def test_many_equal_vectors(spark):
+    """Of them a query can use k, and its own is not among these."""
+    rows = [(k, [1.0, 0.5]) for k in range(130)] + [(7, [1.0, 0.5])] * 4 + [(500, [2.0, -1.0]), (501, [0.0, 0.0])]
+    got = topk.top_k(vectors(spark, rows), F.col("vec_id") % 50 == 0, k=6).collect()
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got)
+    expected = []
+    for q, own in [(q, v) for q, v in rows if q % 50 == 0]:
+        scores = sorted((-int(sum(256 * 256 * a * b for a, b in zip(own, v, strict=True))), i) for i, v in rows if i != q)
+        expected += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:6])]
+    assert found == sorted(expected)
+
+
 def test_huge_components_are_exact(spark):
     rows = [(0, [1e12, -3.0]), (1, [1e12, 5.0]), (2, [1e12, 6.0]), (3, [-1e12, 0.0]), (4, [3e37, 0.0])]
     got = topk.top_k(vectors(spark, rows), F.col("vec_id") % 50 == 0, k=3).collect()
