@@ -1,6 +1,7 @@
 """Quality classifier: random indexing, pooling, a two-layer network, calibration.
 
-Fitting, on the driver, over at most ``fit_rows`` labelled texts:
+Fitting, on the driver, over at most ``fit_rows`` labelled texts of together at most
+``fit_bytes`` bytes:
 
 * every frequent word gets a sparse random index vector made from its hash; its
   word vector is the sum of the index vectors of the words next to it;
@@ -33,15 +34,17 @@ from pyspark.sql import functions as F
 from .store import small_batches, type_of
 from .textnum import Words, chunks, stream
 
-#: Labelled texts that are learnt from at most; words with a vector.
-FIT_ROWS, VOCABULARY = 5_000, 20_000
+#: Labelled texts that are learnt from at most, and their bytes; words with a vector.
+FIT_ROWS, FIT_BYTES, VOCABULARY = 5_000, 64 << 20, 20_000
 WORD_DIMS, SHAPE_DIMS, SHAPES, HIDDEN = 32, 48, 256, 24
 EPOCHS, RATE, DECAY = 400, 0.02, 1e-4
 
 _FIELDS = (b"#*$%&|<>~^=", b"!?", bytes(range(65, 91)), bytes(range(97, 123)) + bytes(range(128, 256)), b"0123456789")
+#: Bits of a field of counts, five of which are added up as one number.
+FIELD_BITS = 12
 _PACKED = np.zeros(256, np.uint64)
 for _k, _bytes in enumerate(_FIELDS):
-    _PACKED[list(_bytes)] = np.uint64(1 << (12 * _k))
+    _PACKED[list(_bytes)] = np.uint64(1 << (FIELD_BITS * _k))
 
 
 def shapes(words: Words, original: np.ndarray) -> np.ndarray:
@@ -53,9 +56,14 @@ def shapes(words: Words, original: np.ndarray) -> np.ndarray:
     at = np.cumsum(length) - length
     inside = np.repeat(words.start - at, length) + np.arange(int(length.sum()))
     packed = np.add.reduceat(_PACKED[original[inside]], at)
-    symbol, shout, upper, lower, digit = ((packed >> np.uint64(12 * k)) & np.uint64(4095) for k in range(5))
+    counts = np.stack([(packed >> np.uint64(FIELD_BITS * k)) & np.uint64((1 << FIELD_BITS) - 1) for k in range(len(_FIELDS))])
+    for k in np.flatnonzero(length >> FIELD_BITS).tolist():  # fields of longer words would run over
+        seen = np.bincount(original[words.start[k] : words.end[k]], minlength=256)
+        counts[:, k] = [seen[list(field)].sum() for field in _FIELDS]
+    symbol, shout, upper, lower, digit = counts
     again = np.zeros(n, bool)
     again[1:] = words.hash[1:] == words.hash[:-1]
+    again[words.first[:-1][words.first[:-1] < n]] = False  # what stands before is another text
     bits = (symbol > 0, shout > 0, (upper > 1) & (lower == 0), digit > 0, upper + lower + digit == 0, again, length > 4, length > 12)
     return sum(b.astype(np.int64) << k for k, b in enumerate(bits))
 
@@ -187,15 +195,26 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Learns from at most ``fit_rows`` rows that are not held out, chosen by hash.
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model:
+    """Learns from at most ``fit_rows`` rows that are not held out, chosen by hash, and
+    of these from the first that have ``fit_bytes`` bytes of text together.
 
     ``labels``: doc_id, quality. Their ids are bounded and broadcast, so no text is
     shuffled to find the sample."""
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("classifier"))
     chosen = labels.select("doc_id", "quality").dropna().where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(order, "doc_id").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(order, "doc_id", F.xxhash64("text")).limit(fit_rows).collect()
-    return fit_texts([r["text"] for r in rows], [r["quality"] for r in rows])
+    place = F.struct(order.alias("order"), "doc_id", F.xxhash64("text").alias("hash")).alias("place")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select(place, "text", "quality")
+    sizes = rows.select("place", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).orderBy("place").limit(fit_rows).collect()
+    total = np.cumsum([r["bytes"] for r in sizes])
+    some = sizes[: int(np.searchsorted(total, fit_bytes, "right"))]
+    if some:
+        last = some[-1]["place"]
+        till = F.struct(F.lit(last["order"]).alias("order"), F.lit(last["doc_id"]).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(last["hash"]).alias("hash"))
+        found = rows.where(F.col("place") <= till).orderBy("place").limit(len(some)).collect()
+    else:
+        found = []
+    return fit_texts([r["text"] for r in found], [r["quality"] for r in found])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

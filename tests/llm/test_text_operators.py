@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import defaultdict
@@ -106,6 +107,53 @@ def noisy(rng, n):
     return texts, np.array(good)
 
 
+def test_shapes_of_very_long_words():
+    def shape(word):
+        words, original = next(quality_classifier._chunks(pa.array([word], pa.large_string())))
+        return int(quality_classifier.shapes(words, original)[0])
+
+    for c in "$!Aa1é.":
+        for n in (13, 4095, 4096, 4100, 8192, 20_000):
+            assert shape(c * n) == shape(c * 13), (c, n)
+    assert shape("A" * 4096 + "a") == shape("AAAAAAAAAAAAAa")
+
+
+def slow_score(model, text):
+    """A text's score, word by word."""
+    words_, original = next(quality_classifier._chunks(pa.array([text], pa.large_string())))
+    n = max(1, len(words_.hash))
+    kinds = quality_classifier.shapes(words_, original)
+    word_part, shape_part = np.zeros(quality_classifier.WORD_DIMS), np.zeros(quality_classifier.SHAPE_DIMS)
+    for h, kind in zip(words_.hash.tolist(), kinds.tolist(), strict=True):
+        at = np.flatnonzero(model.words == h)
+        if len(at):
+            word_part += model.vectors[at[0]] / n
+        shape_part += quality_classifier._SHAPE_VECTORS[kind] / n
+    x = (np.concatenate([word_part, shape_part]) - model.mean) / model.scale
+    w1, b1, w2, b2 = model.layers
+    hidden = [math.tanh(sum(x[i] * w1[i, j] for i in range(len(x))) + b1[j]) for j in range(len(b1))]
+    return 1 / (1 + math.exp(-(sum(h * w for h, w in zip(hidden, w2, strict=True)) + b2[0]) / model.temperature))
+
+
+def test_scores_equal_a_slow_pass(spark, odd):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    texts = [r["text"] for r in docs.where("doc_id < 25").collect()] + [t for _, t in odd_texts()[:11] if t]
+    got = quality_classifier.score(frame(spark, list(enumerate(texts))), model).collect()
+    for r in got:
+        assert r["score"] == pytest.approx(slow_score(model, texts[r["doc_id"]]), abs=1e-4)
+
+
+def test_the_sample_is_bounded_by_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit_texts", lambda texts, good: seen.append(texts))
+    docs = frame(spark, [(k, "x" * 100) for k in range(60)] + [(7, "x" * 100)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    for rows, size in ((5000, 1000), (4, 1000), (5000, 10), (5000, 10**6)):
+        quality_classifier.fit(docs, labels, rows, size)
+    assert [len(x) for x in seen] == [10, 4, 0, len(seen[3])] and 30 < len(seen[3]) < 60
+
+
 def test_probabilities_are_calibrated():
     rng = random.Random(0)
     model = quality_classifier.fit_texts(*noisy(rng, 1500))
