@@ -7,8 +7,10 @@
    least squares, rounds them, and packs what is left best-fit decreasing. All
    of that works on counts of lengths, never on single pieces.
 3. Each piece gets its number among the pieces of its length: a running number
-   within (length, bucket) plus the bucket's offset, so that no task ever holds
-   all pieces of a frequent length. The number picks the piece's place.
+   within (length, bucket) plus the bucket's offset. A length has a bucket for every
+   ``BUCKET_ROWS`` of its pieces and they are dealt by a running number, so that no
+   task ever holds all pieces of a frequent length, not even of one document that
+   is repeated. The number picks the piece's place.
 
 Cases: a null text counts as empty and is a piece of its end token alone; null
 ids stay null; repeated rows are packed as often as they occur; an empty table
@@ -22,6 +24,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,13 +134,15 @@ def plan(histogram: Mapping[int, int], capacity: int) -> list[tuple[tuple[int, .
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, keep_ids: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of every document's token ids and ``end_id``.
+    """(doc_id, piece, start, length, ids_crc32, deal[, ids]) of every document's token ids and ``end_id``.
 
-    ``ids``: the ids themselves as little-endian unsigned 32-bit numbers."""
+    ``ids``: the ids themselves as little-endian unsigned 32-bit numbers; ``deal``: a
+    number that spreads pieces, also equal ones."""
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
+        deal = TaskContext.get().partitionId() * 1_000_003
         for batch in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             low = is_low(batch.column(1))
@@ -153,22 +158,22 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, keep_id
                     crc.append(zlib.crc32(part))
                     if keep_ids:
                         kept.append(part)
-            arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.arange(deal, deal + len(row)))]
+            deal += len(row)
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "deal"]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * keep_ids, names=names + ["ids"] * keep_ids)
         bpe.ids.shrink()
         give_back()
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, f"doc_id {type_of(rows, 'doc_id')}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return rows.mapInArrow(cut, f"doc_id {type_of(rows, 'doc_id')}, piece int, start long, length long, ids_crc32 long, deal long" + ", ids binary" * keep_ids)
 
 
 def place(table: DataFrame, capacity: int) -> DataFrame:
-    """Adds sequence_id and offset to a *written* table of pieces.
+    """Adds sequence_id and offset to a *written* table of pieces, and drops deal.
 
     Numbers are given by content, so that a task that runs again gives the same."""
     histogram = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    buckets = 1 + sum(histogram.values()) // BUCKET_ROWS
     sequence, free, slots = 0, dict.fromkeys(histogram, 0), []
     for lengths, many in plan(histogram, capacity):
         offset = 0
@@ -190,14 +195,17 @@ def place(table: DataFrame, capacity: int) -> DataFrame:
             arrays = [batch.column(i) for i, n in enumerate(names) if n != "number"]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(slot[at, 2] + number - slot[at, 1]), pa.array(slot[at, 3])], names=[n for n in names if n != "number"] + ["sequence_id", "offset"])
 
-    bucketed = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    buckets = [(length, 1 + n // BUCKET_ROWS) for length, n in histogram.items()]  # ``capacity`` rows at most
+    many = F.broadcast(table.sparkSession.createDataFrame(buckets, "length long, buckets long"))
+    bucketed = table.join(many, "length").withColumn("bucket", F.pmod(F.xxhash64("deal"), F.col("buckets")))
     sizes = bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32"))
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32", "deal"))
     numbered = bucketed.withColumn("within", within).join(offsets, ["length", "bucket"])
-    ready = numbered.select(*table.columns, (F.col("before") + F.col("within") - 1).alias("number"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
+    kept = [f for f in table.schema if f.name != "deal"]
+    ready = numbered.select(*[f.name for f in kept], (F.col("before") + F.col("within") - 1).alias("number"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
     return ready.mapInArrow(assign, f"{fields}, sequence_id long, offset long")
 
 
