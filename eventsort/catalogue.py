@@ -37,8 +37,8 @@ def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _plan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = dedup.flag(_clustered(spark, sf_dir))
-    return plan.plan_rows(files, cluster.summarize(files), ROOT)
+    clustered = _clustered(spark, sf_dir)
+    return plan.plan_rows(dedup.flag(clustered), cluster.summarize(clustered), ROOT)
 
 
 # --- registry ---
@@ -137,14 +137,11 @@ def event_clusters_global(spark, sf_dir):
 FROM numbered GROUP BY user_id, event_day, day_sequence""".replace("flagged AS", "WITH flagged AS", 1)
 )
 def event_clusters_per_user(spark, sf_dir):
-    """Gap clustering of each user's events; a user and day is one window."""
+    """Gap clustering of each user's events."""
     e = v.table(spark, sf_dir, "events")
-    rank = F.col("event_id") % 3
-    rows = e.select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("event_day"), rank.alias("rnk"), exif_time.epoch(F.date_trunc("second", "ts").cast("timestamp_ntz")).alias("instant"))
-    w = cluster.Window.partitionBy("user_id", "event_day").orderBy("instant", "event_id")
+    rows = e.select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("event_day"), (F.col("event_id") % 3).alias("rnk"), exif_time.epoch(F.date_trunc("second", "ts").cast("timestamp_ntz")).alias("instant"))
     point = F.struct(F.col("instant").alias("epoch"), F.col("rnk").alias("rank"), F.lit("second").alias("precision"))
-    fresh = cluster.splits(F.lag(point).over(w), point)
-    numbered = rows.withColumn("fresh", fresh).withColumn("day_sequence", F.sum("fresh").over(w.rowsBetween(cluster.Window.unboundedPreceding, 0)).cast("long"))
+    numbered = cluster.number_events(rows, point, (F.col("instant"), F.col("event_id")), ["user_id"])
     return numbered.groupBy("user_id", "event_day", "day_sequence").agg(F.count(F.lit(1)).alias("file_count"), F.min("instant").alias("first_instant"), F.max("instant").alias("last_instant"), cluster.confidence_of(F.col("rnk")).alias("cluster_confidence"))
 
 
@@ -204,9 +201,20 @@ def duplicate_secondary(spark, sf_dir):
     return dedup.flag(v.media(spark, sf_dir)).where("is_duplicate_secondary").select("seq", "hash_sha256")
 
 
-@query("SELECT seq, lower(file_name) LIKE '%fatura%' AS is_document FROM media", v.MEDIA_SQL)
+_KEYWORDS_SQL = "[" + ", ".join(f"'{k}'" for k in text.DOCUMENT_KEYWORDS) + ", 'holiday', 'birthday']"
+
+
+@query(
+    f"""SELECT seq, len([k FOR k IN list_slice({_KEYWORDS_SQL}, 1, -3) IF contains(lower(file_name), k)]) > 0 AS is_document
+FROM (SELECT event_id AS seq, CASE WHEN event_id % 2 = 0 THEN w ELSE upper(w) END || ' ' || event_id || '.jpg' AS file_name FROM (SELECT event_id, 'x' || list_extract({_KEYWORDS_SQL}, CAST(event_id % 23 AS INTEGER) + 1) AS w FROM events))"""
+)
 def document_flag(spark, sf_dir):
-    return v.media(spark, sf_dir).select("seq", text.is_document(F.col("file_name")).alias("is_document"))
+    """Names with each of the keywords, in either case, and with words that are none."""
+    i = F.col("event_id")
+    options = F.array(*map(F.lit, (*text.DOCUMENT_KEYWORDS, "holiday", "birthday")))
+    word = F.concat(F.lit("x"), F.element_at(options, (i % 23 + 1).cast("int")))
+    name = F.concat(F.when(i % 2 == 0, word).otherwise(F.upper(word)), F.lit(" "), i.cast("string"), F.lit(".jpg"))
+    return v.table(spark, sf_dir, "events").select(i.alias("seq"), text.is_document(name).alias("is_document"))
 
 
 @query(r"SELECT seq, CASE WHEN s = '' THEN 'unknown' ELSE s END AS safe FROM (SELECT seq, trim(regexp_replace(replace(file_name, ' ', '_'), '[^\p{L}\p{N}_-]', '', 'g'), '_') AS s FROM media)", v.MEDIA_SQL)
@@ -237,8 +245,8 @@ def auto_policy(spark, sf_dir):
 )
 def move_plan(spark, sf_dir):
     """The plan with destinations; no file of this view is named like a numbered copy."""
-    files = dedup.flag(_clustered(spark, sf_dir))
-    built = plan.build(files, cluster.summarize(files), ROOT)
+    clustered = _clustered(spark, sf_dir)
+    built = plan.build(dedup.flag(clustered), cluster.summarize(clustered), ROOT)
     return built.drop("seq", "effective_timestamp_source", "effective_timestamp_confidence", "effective_timestamp_precision")
 
 
@@ -252,12 +260,24 @@ def bucket_clusters(spark, sf_dir):
     return summary.clusters_per_bucket(_plan_rows(spark, sf_dir))
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE wanted AS (
+  SELECT seq, folder, name, row_number() OVER (PARTITION BY folder ORDER BY seq) AS turn, regexp_replace(name, '\.[^.]+$', '') AS bare, regexp_extract(name, '\.[^.]+$') AS ending
+  FROM (SELECT event_id AS seq, '/organized/' || (event_id % 97) AS folder, list_extract(['a__dup02.jpg', 'A.JPG', 'a.jpg', 'b.png', 'a__dup03.jpg'], CAST(event_id % 5 AS INTEGER) + 1) AS name FROM events)
+), given AS (
+  SELECT folder, CAST(0 AS BIGINT) AS turn, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS chosen FROM wanted GROUP BY folder
+  UNION ALL
+  SELECT folder, turn, list_append(taken, lower(chosen)), seq, name, chosen FROM (
+    SELECT w.folder, w.turn, g.taken, w.seq, w.name, list_filter(list_concat([w.name], list_transform(range(2, len(g.taken) + 3), lambda n: w.bare || '__dup' || printf('%02d', n) || w.ending)), lambda c: NOT list_contains(g.taken, lower(c)))[1] AS chosen
+    FROM given g JOIN wanted w ON w.folder = g.folder AND w.turn = g.turn + 1
+  )
+) SELECT seq, folder AS proposed_folder, name AS file_name, folder || '/' || chosen AS proposed_destination FROM given WHERE seq IS NOT NULL"""
+)
 def destination_allocation(spark, sf_dir):
     """Names that clash with numbered copies of others, which need the allocation itself."""
-    i = F.col("seq")
-    name = F.when(i % 5 == 0, "a__dup02.jpg").when(i % 5 == 1, "A.JPG").when(i % 5 == 2, "a.jpg").when(i % 5 == 3, "b.png").otherwise("a__dup03.jpg")
-    rows = v.media(spark, sf_dir).select("seq", F.concat(F.lit("/organized/"), (i % 97).cast("string")).alias("proposed_folder"), name.alias("file_name"))
+    i = F.col("event_id")
+    name = F.element_at(F.array(*map(F.lit, ("a__dup02.jpg", "A.JPG", "a.jpg", "b.png", "a__dup03.jpg"))), (i % 5 + 1).cast("int"))
+    rows = v.table(spark, sf_dir, "events").select(i.alias("seq"), F.concat(F.lit("/organized/"), (i % 97).cast("string")).alias("proposed_folder"), name.alias("file_name"))
     return naming.name_destinations(rows, "seq")
 
 

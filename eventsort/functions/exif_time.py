@@ -20,11 +20,6 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def is_zero(value: Column) -> Column:
-    """Whether the trimmed text begins like a date of zeros."""
-    return F.trim(value).rlike("^0000(:00:|-00-)00")
-
-
 def epoch(local: Column) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), local)
 

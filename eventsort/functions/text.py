@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 # Words that mark a document's file name.
 DOCUMENT_KEYWORDS = (
-    "apolice", "cartao", "cartão", "cc_", "certificado", "cidadao", "cidadão", "contrato", "document", "documento", "fatura",
-    "iban", "identidade", "invoice", "licenca", "licença", "nif", "passaporte", "passport", "receipt", "recibo",
+    "cartão", "cartao", "cidadão", "cidadao", "cc_", "passport", "passaporte",
+    "nif", "iban", "invoice", "fatura", "receipt", "recibo", "document", "documento",
+    "certificado", "contrato", "apolice", "licença", "licenca", "identidade",
 )
 # Media file suffixes.
 MEDIA_EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp", ".heic", ".heif", ".tif", ".tiff", ".mp4", ".mov", ".avi", ".mkv", ".webm")
@@ -30,10 +31,6 @@ def suffix(name: Column) -> Column:
     return F.when(name.rlike(_HAS_SUFFIX), F.regexp_extract(name, r"(\.[^.]+)$", 1)).otherwise(F.lit(""))
 
 
-def base_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
-
-
 def is_media(extension: Column) -> Column:
     return F.lower(extension).isin(*MEDIA_EXTENSIONS)
 

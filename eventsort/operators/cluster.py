@@ -2,11 +2,12 @@
 
 Rows of a day in order of (instant, lower name, seq) belong to one event until
 the gap to the row before exceeds what the lower of both confidences allows. A
-day may hold most of all rows, so windows run over slices of a day: the last row
-of each slice, a table whose size follows the time span and not the rows, tells
-the next slice what came before, and the slices' event counts give the offsets.
-Undated rows are events of their own and never share a window. Rows with their
-flags are written once, since several steps read them.
+day, an instant or a name may hold most of all rows, so rows are dealt by ranges of
+that order (``positions``) and windows run over a day's share of a range: the last
+row of each share tells the next one what came before, and the shares' event counts
+give the offsets. Shares are no more than days and ranges together. Undated rows are
+events of their own, on a day that sorts last. Rows are written once dealt and once
+more with their flags, since several steps read them.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ from pyspark.sql import functions as F
 from ..functions.text import rank
 from ..scratch import new_path, write_table
 from .enrich import TIME, event_day
+from .positions import PART, ROW, dealt, running
 
 # Hours that may lie between two rows of an event, by lower confidence.
 GAP_HOURS = {"high": 4, "medium": 8, "low": 12}
-#: Seconds of a slice.
-SLICE = 1800
 
 
 def allowed_seconds(lower_rank: Column) -> Column:
@@ -37,41 +37,29 @@ def splits(before: Column, now: Column) -> Column:
     return F.when(before.isNull(), 1).when(dated, 0).when(far, 1).otherwise(0)
 
 
-def number_events(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds event_day and day_sequence (1 for the first event of a day) to enriched
-    rows that have a time. ``keys``: events never cross these columns."""
-    point = F.struct(F.col(f"{TIME}.epoch").alias("epoch"), rank(F.col("effective_timestamp_confidence"), 0).alias("rank"), F.col("effective_timestamp_precision").alias("precision"))
-    order = F.struct(F.col(f"{TIME}.epoch").alias("epoch"), F.lower("file_name").alias("name"), F.col("seq").alias("seq"))
-    dated = rows.where(F.col(TIME).isNotNull()).withColumns({"event_day": event_day(F.col(TIME)), "__slice": F.floor(F.col(f"{TIME}.epoch") / SLICE), "__point": point, "__order": order})
-    day, part = [*keys, "event_day"], [*keys, "event_day", "__slice"]
-    lasts = dated.groupBy(*part).agg(F.max_by("__point", "__order").alias("__last"))
-    lasts = lasts.select(*part, F.lag("__last").over(Window.partitionBy(*day).orderBy("__slice")).alias("__previous"))
-    along = Window.partitionBy(*part).orderBy("__order")
-    fresh = splits(F.coalesce("__before", "__previous"), F.col("__point"))
-    flagged = dated.withColumn("__before", F.lag("__point").over(along)).join(lasts, part).withColumn("__new", fresh)
+def number_events(rows: DataFrame, point: Column, order: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
+    """Adds day_sequence (1 for the first event of a day), cluster_no (1 for the first
+    event of all) and file_order (1 for the first row) to rows that have an event_day.
+
+    ``point``: what ``splits`` looks at, null for rows without a time; ``order``: of a
+    day's rows, telling them all apart; ``keys``: events never cross these columns."""
+    day = [*keys, "event_day"]
+    part = [*day, PART]
+    names = [f"__by{k}" for k in range(len(order))]
+    stored = dealt(rows.withColumns({"__point": point} | dict(zip(names, order, strict=True))), [*day, *names]).drop(*names)
+    lasts = stored.groupBy(*part).agg(F.max_by("__point", ROW).alias("__last"))
+    lasts = lasts.select(*part, F.lag("__last").over(Window.partitionBy(*day).orderBy(PART)).alias("__previous"))
+    along = Window.partitionBy(*part).orderBy(ROW)
+    fresh = F.when(F.col("__point").isNull(), 1).otherwise(splits(F.coalesce("__before", "__previous"), F.col("__point")))
+    flagged = stored.withColumn("__before", F.lag("__point").over(along)).join(lasts, part).withColumn("__new", fresh)
     flagged = flagged.withColumn("__inside", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    stored = write_table(flagged.drop("__point", "__order", "__before", "__previous", "__new"), new_path(rows.sparkSession, "events"))
-    counts = stored.groupBy(*part).agg(F.max("__inside").alias("__n"))
-    earlier = F.sum("__n").over(Window.partitionBy(*day).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*part, F.coalesce(earlier, F.lit(0)).alias("__offset"))
-    return stored.join(offsets, part).withColumn("day_sequence", (F.col("__inside") + F.col("__offset")).cast("long")).drop("__slice", "__inside", "__offset")
-
-
-def undated(rows: DataFrame) -> DataFrame:
-    """Rows without a time, each an event, numbered by (lower name, seq).
-
-    Names are ranked in groups of their first characters and seq, so no window
-    holds all rows; groups' counts, not rows, are summed in one place."""
-    rows = rows.where(F.col(TIME).isNull()).withColumns({"event_day": F.lit("missing"), "__name": F.lower("file_name")})
-    counts = rows.groupBy("__name").agg(F.count(F.lit(1)).alias("n")).withColumn("__group", F.substring("__name", 1, 12))
-    groups = counts.groupBy("__group").agg(F.sum("n").alias("g"))
-    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = groups.select("__group", before("g", Window.orderBy("__group")).alias("__a"))
-    names = counts.select("__name", "__group", before("n", Window.partitionBy("__group").orderBy("__name")).alias("__b")).join(groups, "__group")
-    within = F.row_number().over(Window.partitionBy("__name").orderBy("seq"))
-    numbered = rows.withColumn("__c", within).join(names.select("__name", "__a", "__b"), "__name")
-    number = (F.col("__a") + F.col("__b") + F.col("__c")).cast("long")
-    return numbered.withColumn("day_sequence", number).drop("__name", "__a", "__b", "__c")
+    events = write_table(flagged.drop("__point", "__before", "__previous", "__new"), new_path(rows.sparkSession, "events"))
+    shares = events.groupBy(*part).agg(F.max("__inside").alias("__n"), F.count(F.lit(1)).alias("__rows"), F.min(ROW).alias("__first"))
+    offsets = shares.select(*part, "__first", running("__n", [PART], day).alias("__earlier"), running("__n", part).alias("__events"), running("__rows", part).alias("__files"))
+    offsets = write_table(offsets, new_path(rows.sparkSession, "shares"))
+    number = lambda c: (F.col(c) + F.col("__inside")).cast("long")
+    out = events.join(offsets, part).withColumns({"day_sequence": number("__earlier"), "cluster_no": number("__events"), "file_order": (F.col("__files") + F.col(ROW) - F.col("__first") + 1).cast("long")})
+    return out.drop(PART, ROW, "__inside", "__first", "__earlier", "__events", "__files")
 
 
 def cluster_id(number: Column) -> Column:
@@ -79,15 +67,13 @@ def cluster_id(number: Column) -> Column:
 
 
 def assign(enriched: DataFrame) -> DataFrame:
-    """Adds event_day, day_sequence, cluster_no and cluster_id: events numbered over
-    all days, undated rows last."""
-    dated, loose = number_events(enriched), undated(enriched)
-    none = enriched.sparkSession.sql("SELECT 'missing' AS event_day, CAST(0 AS BIGINT) AS n")
-    days = dated.groupBy("event_day").agg(F.max("day_sequence").alias("n")).union(none)
-    offset = F.coalesce(F.sum("n").over(Window.orderBy("event_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    days = days.select("event_day", offset.alias("__offset"))  # one row a day; ``missing`` sorts last
-    both = dated.unionByName(loose).join(days, "event_day")
-    return both.withColumn("cluster_no", F.col("day_sequence") + F.col("__offset")).drop("__offset").withColumn("cluster_id", cluster_id(F.col("cluster_no")))
+    """Adds event_day, day_sequence, cluster_no, cluster_id and file_order: events are
+    numbered over all days, undated rows last."""
+    epoch = F.col(f"{TIME}.epoch")
+    point = F.struct(epoch.alias("epoch"), rank(F.col("effective_timestamp_confidence"), 0).alias("rank"), F.col("effective_timestamp_precision").alias("precision"))
+    rows = enriched.withColumn("event_day", event_day(F.col(TIME)))  # ``missing`` sorts last
+    numbered = number_events(rows, F.when(F.col(TIME).isNotNull(), point), (epoch, F.lower("file_name"), F.col("seq")))
+    return numbered.withColumn("cluster_id", cluster_id(F.col("cluster_no")))
 
 
 def confidence_of(rank_column: Column) -> Column:

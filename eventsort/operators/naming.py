@@ -3,31 +3,47 @@
 A name that is taken gets ``__dup02``, ``__dup03`` and so on, the first that is
 free, also of names given before and literal ones. Only names of one *family* in
 one folder can meet: names that are equal once ``__dupNN`` endings are taken off.
-A family with a single literal name is numbered by a window; only families with
-several run the allocation itself, family by family.
+A family with a single literal name is numbered by places in one order of all rows;
+only families with several run the allocation itself, family by family.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from itertools import count
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stem, suffix
+from .positions import positions
+
+
+def split_name(name: str) -> tuple[str, str]:
+    """A name before its last dot, and from there; as ``stem`` and ``suffix``."""
+    found = re.fullmatch(r"(?s)(.+)(\.[^.]+)", name)
+    return (found[1], found[2]) if found else (name, "")
 
 
 def allocate(names: Iterable[str]) -> list[str]:
-    """Names for ``names`` in order, each free when its turn comes."""
+    """Names for ``names`` in order, each free when its turn comes.
+
+    What is taken stays taken, so a name's search goes on where it last stopped."""
     taken: set[str] = set()
+    reached: dict[str, int] = {}
     out = []
     for name in names:
-        dot = name.rfind(".")
-        bare, end = (name[:dot], name[dot:]) if 0 < dot < len(name) - 1 else (name, "")
-        chosen, n = name, 2
-        while chosen.lower() in taken:
-            chosen, n = f"{bare}__dup{n:02d}{end}", n + 1
+        low = name.lower()
+        if low not in taken:
+            taken.add(low)
+            out.append(name)
+            continue
+        bare, end = split_name(name)
+        variants = (f"{bare}__dup{n:02d}{end}" for n in count(reached.get(low, 2)))
+        chosen = next(v for v in variants if v.lower() not in taken)
+        reached[low] = int(chosen[len(bare) + 5 : len(chosen) - len(end)]) + 1
         taken.add(chosen.lower())
         out.append(chosen)
     return out
@@ -40,14 +56,19 @@ def _allocate_family(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def name_destinations(plan: DataFrame, order: str, folder: str = "proposed_folder", name: str = "file_name", out: str = "proposed_destination") -> DataFrame:
-    """Adds ``out``: folder/name. ``order``: a column of distinct numbers, the plan order."""
+    """Adds ``out``: folder/name. ``order``: a column of distinct numbers, the plan order.
+
+    A name's turn is its place in the order of (folder, name, plan order) less that of
+    the name's first, so a name that very many rows have is no window."""
     n = F.col(name)
     family = F.concat(F.regexp_replace(F.lower(stem(n)), "(__dup[0-9]+)+$", ""), F.lower(suffix(n)))
     rows = plan.withColumns({"__at": F.col(order), "__key": F.lower(folder), "__name": n, "__low": F.lower(n), "__family": family})
-    kinds = rows.groupBy("__key", "__family").agg(F.min("__low").alias("a"), F.max("__low").alias("b"))
-    crowded = kinds.select("__key", "__family", (F.col("a") != F.col("b")).alias("__crowded"))
-    rows = rows.join(crowded, ["__key", "__family"])
-    turn = F.row_number().over(Window.partitionBy("__key", "__low").orderBy("__at"))
+    rows = positions(rows, ["__key", "__low", "__at"], "__place")
+    names = rows.groupBy("__key", "__low", "__family").agg(F.min("__place").alias("__first"))
+    kinds = names.groupBy("__key", "__family").agg((F.count(F.lit(1)) > 1).alias("__crowded"))
+    names = names.join(kinds, ["__key", "__family"]).drop("__family")
+    rows = rows.join(names, ["__key", "__low"])
+    turn = F.col("__place") - F.col("__first") + 1
     numbered = F.concat(stem(n), F.format_string("__dup%02d", turn), suffix(n))
     fast = rows.where("not __crowded").withColumn("__given", F.when(turn == 1, n).otherwise(numbered))
     slow = rows.where("__crowded")
@@ -55,4 +76,4 @@ def name_destinations(plan: DataFrame, order: str, folder: str = "proposed_folde
     given = slow.select("__at", "__key", "__family", "__name").groupBy("__key", "__family").applyInPandas(_allocate_family, f"__at {kind}, __key string, __given string")
     slow = slow.join(given, ["__at", "__key"]).select(*fast.columns)
     both = fast.unionByName(slow).withColumn(out, F.concat_ws("/", folder, "__given"))
-    return both.drop("__at", "__key", "__name", "__low", "__family", "__crowded", "__given")
+    return both.drop("__at", "__key", "__name", "__low", "__family", "__place", "__first", "__crowded", "__given")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import INVALID_DAYS, auto_folder, folder_part, is_document
-from ..scratch import new_path, write_table
 from .cluster import FILE_FIELDS
 from .naming import name_destinations
 
+# The columns of a written plan, in order.
 PLAN_COLUMNS = (
     "cluster_id", "event_day", "cluster_confidence", "cluster_file_count", "day_cluster_count", "review_recommended", "proposed_bucket",
     "proposed_action", "timestamp_start", "timestamp_end", "source_path", "proposed_folder", "proposed_destination", "file_name",
@@ -49,28 +49,18 @@ def classify(rows: DataFrame, root: str) -> DataFrame:
 
 
 def plan_rows(files: DataFrame, events: DataFrame, root: str) -> DataFrame:
-    """``files``: clustered rows with is_duplicate_secondary; ``events``: their summaries.
-
-    Adds plan_order, which follows events and files in them."""
+    """``files``: clustered rows with is_duplicate_secondary; ``events``: their summaries."""
     e = day_counts(events).withColumn("auto", auto_approved(F.col("event_day"), F.col("cluster_confidence"), F.col("file_count"), F.col("day_cluster_count")))
     e = e.select("cluster_id", "cluster_confidence", F.col("file_count").alias("cluster_file_count"), "day_cluster_count", "timestamp_start", "timestamp_end", "auto")
     rows = files.join(e, "cluster_id").withColumns({"is_document": is_document(F.col("file_name")), "source_path": F.col("file_path")})
     return classify(rows, root)
 
 
-def ordered(rows: DataFrame) -> DataFrame:
-    """Adds plan_order, a number that grows along (event, file): names are given by it.
-
-    Within an event files are numbered by a window over (event, folder) and the
-    event's number goes in front, so no window spans the table."""
-    along = Window.partitionBy("cluster_id", "proposed_folder").orderBy("effective_time.epoch", F.lower("file_name"), "seq")
-    return rows.withColumn("plan_order", F.col("cluster_no") * F.lit(1 << 32) + F.row_number().over(along))
-
-
 def build(files: DataFrame, events: DataFrame, root: str) -> DataFrame:
-    """The plan: ``PLAN_COLUMNS`` and seq, the plan's order. Rows are written before they get names, which reads them more than once."""
-    rows = write_table(ordered(plan_rows(files, events, root)), new_path(files.sparkSession, "plan"))
-    return name_destinations(rows, "plan_order").select(*PLAN_COLUMNS, F.col("plan_order").alias("seq"))
+    """The plan: ``PLAN_COLUMNS`` and seq, the plan's order: that of events and of files in them."""
+    rows = plan_rows(files, events, root)
+    needed = rows.select(*[c for c in PLAN_COLUMNS if c != "proposed_destination"], F.col("file_order").alias("seq"))
+    return name_destinations(needed, "seq").select(*PLAN_COLUMNS, "seq")
 
 
 def from_records(events: DataFrame) -> DataFrame:

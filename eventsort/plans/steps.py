@@ -67,7 +67,7 @@ def clusters(spark: SparkSession, registry: str, out: str, array: bool = False)
     path = os.path.join(out, "clustered")
     rows.write.mode("overwrite").parquet(path)
     stored = spark.read.parquet(path)
-    files.write_lines(stored.drop(enrich.TIME, "cluster_no", "day_sequence", "event_day"), os.path.join(out, "enriched"))
+    files.write_lines(stored.drop(enrich.TIME, "cluster_no", "day_sequence", "event_day", "file_order"), os.path.join(out, "enriched"))
     files.write_lines(cluster.event_table(stored), os.path.join(out, "events"), order="cluster_no")
     events = files.read_events(spark, os.path.join(out, "events"))
     if array:
@@ -77,8 +77,8 @@ def clusters(spark: SparkSession, registry: str, out: str, array: bool = False)
 
 def make_plan(spark: SparkSession, clustered: str, out: str, target: str, array: bool = False) -> DataFrame:
     """``array``: also writes the plan as one JSON array."""
-    rows = dedup.flag(spark.read.parquet(files.need(clustered, "clustered registry")))
-    made = plan.build(rows, cluster.summarize(rows), target)
+    rows = spark.read.parquet(files.need(clustered, "clustered registry"))
+    made = plan.build(dedup.flag(rows), cluster.summarize(rows), target)
     path = os.path.join(out, "plan")
     files.write_lines(made, path, order="seq")
     stored = files.read_plan(spark, path)

@@ -1,7 +1,8 @@
 """Scratch tables in the folder that driver and executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset,
-as in tests on one machine, is a temporary folder made and set.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and
+the session is local, as in tests on one machine, is a temporary folder made and set;
+on a cluster that would be another folder on every machine.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="eventsort-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

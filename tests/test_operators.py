@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,55 @@ def test_undated_rows_are_numbered_last(spark):
     assert [g[1:] for g in got] == sorted((g[1:] for g in got))
 
 
+@pytest.fixture
+def many_ranges(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_hot_keys_span_ranges(spark, many_ranges):
+    """One undated name, one instant, one hash and one destination, each over many ranges."""
+    rows = [(i, "same.jpg", None, None, False, "h", f"/{i}") for i in range(400)]
+    rows += [(1000 + i, "IMG-20240719-WA0004.jpg", None, None, False, "h", f"/{1000 + i}") for i in range(400)]
+    rows += [(2000 + i, "x.jpg", "2024:07:20 10:00:00" if i < 399 else "2024:07:20 15:00:00", "CreateDate", True, "h", f"/{2000 + i}") for i in range(400)]
+    got = {r["seq"]: r for r in cluster.assign(enrich.enrich(spark.createDataFrame(rows, REGISTRY))).collect()}
+    assert [got[1000 + i]["cluster_no"] for i in range(400)] == [1] * 400
+    assert [got[2000 + i]["cluster_no"] for i in range(400)] == [2] * 399 + [3]
+    assert [got[i]["cluster_no"] for i in range(400)] == [4 + i for i in range(400)]
+    order = sorted(got.values(), key=lambda r: r["file_order"])
+    assert [r["file_order"] for r in order] == list(range(1, 1201)) and [r["seq"] for r in order] == [*range(1000, 1400), *range(2000, 2400), *range(400)]
+    df = spark.createDataFrame(rows, REGISTRY)
+    ranks = {r["seq"]: r["copy_rank"] for r in dedup.ranked(df).collect()}
+    by_rank = sorted(rows, key=lambda r: (len(r[1]), r[1].lower(), r[0]))
+    assert [ranks[r[0]] for r in by_rank] == list(range(1, 1201))
+    named = naming.name_destinations(df.select("seq", "file_name", F.lit("/f").alias("proposed_folder")), "seq").collect()
+    assert {r["seq"]: r["proposed_destination"] for r in named if r["seq"] < 400} == {i: "/f/same.jpg" if not i else f"/f/same__dup{i + 1:02d}.jpg" for i in range(400)}
+
+
+def test_one_user_spans_ranges(spark, many_ranges):
+    rng = random.Random(4)
+    rows = [(1, "2024-01-01", rng.randrange(0, 86400, 1800) if i % 2 else 3600, i) for i in range(900)]
+    df = spark.createDataFrame(rows, "user long, event_day string, at long, seq long")
+    point = F.struct(F.col("at").alias("epoch"), F.lit(2).alias("rank"), F.lit("second").alias("precision"))
+    got = {r["seq"]: r["day_sequence"] for r in cluster.number_events(df, point, (F.col("at"), F.col("seq")), ["user"]).collect()}
+    n, last, expected = 0, None, {}
+    for _, _, at, seq in sorted(rows, key=lambda r: (r[2], r[3])):
+        n += last is None or at - last > 4 * 3600
+        expected[seq], last = n, at
+    assert got == expected
+
+
+def test_allocation_is_linear():
+    names = ["a.jpg", "A.JPG", "a__dup02.jpg"] * 20_000
+    began = time.time()
+    out = naming.allocate(names)
+    assert time.time() - began < 5 and len({x.lower() for x in out}) == len(names)
+
+
 def test_normalize(spark):
     rows = [
         (1, {"DateTimeOriginal": "2024:07:18 12:09:04", "Make": "Acme", "Model": "X1", "GPSLatitude": "38.7", "GPSLongitude": "-9.1"}),
