@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import testviews as v
 from .functions import exif_time, filename_time, text
 from .operators import cluster, dedup, enrich, naming, normalize, plan, review, select, summary
+from .scratch import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,7 +30,7 @@ def query(sql: str | None = None, views: str = ""):
 
 
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.enrich(v.media(spark, sf_dir))
+    return enrich.enrich(spread(v.media(spark, sf_dir)))
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:

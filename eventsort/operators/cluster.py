@@ -56,7 +56,6 @@ def number_events(rows: DataFrame, point: Column, order: Sequence[Column], keys:
     events = write_table(flagged.drop("__point", "__before", "__previous", "__new"), new_path(rows.sparkSession, "events"))
     shares = events.groupBy(*part).agg(F.max("__inside").alias("__n"), F.count(F.lit(1)).alias("__rows"), F.min(ROW).alias("__first"))
     offsets = shares.select(*part, "__first", running("__n", [PART], day).alias("__earlier"), running("__n", part).alias("__events"), running("__rows", part).alias("__files"))
-    offsets = write_table(offsets, new_path(rows.sparkSession, "shares"))
     number = lambda c: (F.col(c) + F.col("__inside")).cast("long")
     out = events.join(offsets, part).withColumns({"day_sequence": number("__earlier"), "cluster_no": number("__events"), "file_order": (F.col("__files") + F.col(ROW) - F.col("__first") + 1).cast("long")})
     return out.drop(PART, ROW, "__inside", "__first", "__earlier", "__events", "__files")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import duplicate_penalty
-from .positions import positions
+from .positions import turns
 
 
 def groups(registry: DataFrame) -> DataFrame:
@@ -31,12 +31,7 @@ def flag(registry: DataFrame) -> DataFrame:
 
 
 def ranked(registry: DataFrame) -> DataFrame:
-    """Adds copy_rank: 1 for the primary file of a hash, then by the same order.
-
-    Ranks are places in the order of all files less that of the hash's first, so a
-    hash that a large part of all files has is no window."""
+    """Adds copy_rank: 1 for the primary file of a hash, then by the same order."""
     by = {"__p": duplicate_penalty(F.col("file_name")), "__n": F.length("file_name"), "__l": F.lower("file_name")}
-    placed = positions(registry.withColumns(by), ["hash_sha256", *by, "seq"], "__at").drop(*by)
-    first = placed.groupBy(F.col("hash_sha256").alias("__hash")).agg(F.min("__at").alias("__first"))
-    joined = placed.join(first, F.col("hash_sha256").eqNullSafe(F.col("__hash")))
-    return joined.withColumn("copy_rank", (F.col("__at") - F.col("__first") + 1).cast("int")).drop("__at", "__hash", "__first")
+    rows = turns(registry.withColumns(by), ["hash_sha256"], [*by, "seq"], "copy_rank")
+    return rows.withColumn("copy_rank", F.col("copy_rank").cast("int")).drop(*by)

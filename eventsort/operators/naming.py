@@ -3,8 +3,8 @@
 A name that is taken gets ``__dup02``, ``__dup03`` and so on, the first that is
 free, also of names given before and literal ones. Only names of one *family* in
 one folder can meet: names that are equal once ``__dupNN`` endings are taken off.
-A family with a single literal name is numbered by places in one order of all rows;
-only families with several run the allocation itself, family by family.
+A family with a single literal name is numbered by its rows' turns; only families
+with several run the allocation itself, family by family.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stem, suffix
-from .positions import positions
+from .positions import turns
 
 
 def split_name(name: str) -> tuple[str, str]:
@@ -57,18 +57,13 @@ def _allocate_family(rows: pd.DataFrame) -> pd.DataFrame:
 
 def name_destinations(plan: DataFrame, order: str, folder: str = "proposed_folder", name: str = "file_name", out: str = "proposed_destination") -> DataFrame:
     """Adds ``out``: folder/name. ``order``: a column of distinct numbers, the plan order.
-
-    A name's turn is its place in the order of (folder, name, plan order) less that of
-    the name's first, so a name that very many rows have is no window."""
+    ``plan`` is read more than once, so it should be a written table."""
     n = F.col(name)
     family = F.concat(F.regexp_replace(F.lower(stem(n)), "(__dup[0-9]+)+$", ""), F.lower(suffix(n)))
     rows = plan.withColumns({"__at": F.col(order), "__key": F.lower(folder), "__name": n, "__low": F.lower(n), "__family": family})
-    rows = positions(rows, ["__key", "__low", "__at"], "__place")
-    names = rows.groupBy("__key", "__low", "__family").agg(F.min("__place").alias("__first"))
-    kinds = names.groupBy("__key", "__family").agg((F.count(F.lit(1)) > 1).alias("__crowded"))
-    names = names.join(kinds, ["__key", "__family"]).drop("__family")
-    rows = rows.join(names, ["__key", "__low"])
-    turn = F.col("__place") - F.col("__first") + 1
+    kinds = rows.groupBy("__key", "__family").agg((F.min("__low") != F.max("__low")).alias("__crowded"))
+    rows = turns(rows, ["__key", "__low"], ["__at"], "__turn").join(kinds, ["__key", "__family"])
+    turn = F.col("__turn")
     numbered = F.concat(stem(n), F.format_string("__dup%02d", turn), suffix(n))
     fast = rows.where("not __crowded").withColumn("__given", F.when(turn == 1, n).otherwise(numbered))
     slow = rows.where("__crowded")
@@ -76,4 +71,4 @@ def name_destinations(plan: DataFrame, order: str, folder: str = "proposed_folde
     given = slow.select("__at", "__key", "__family", "__name").groupBy("__key", "__family").applyInPandas(_allocate_family, f"__at {kind}, __key string, __given string")
     slow = slow.join(given, ["__at", "__key"]).select(*fast.columns)
     both = fast.unionByName(slow).withColumn(out, F.concat_ws("/", folder, "__given"))
-    return both.drop("__at", "__key", "__name", "__low", "__family", "__place", "__first", "__crowded", "__given")
+    return both.drop("__at", "__key", "__name", "__low", "__family", "__turn", "__crowded", "__given")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import INVALID_DAYS, auto_folder, folder_part, is_document
+from ..scratch import new_path, write_table
 from .cluster import FILE_FIELDS
 from .naming import name_destinations
 
@@ -57,10 +58,10 @@ def plan_rows(files: DataFrame, events: DataFrame, root: str) -> DataFrame:
 
 
 def build(files: DataFrame, events: DataFrame, root: str) -> DataFrame:
-    """The plan: ``PLAN_COLUMNS`` and seq, the plan's order: that of events and of files in them."""
-    rows = plan_rows(files, events, root)
-    needed = rows.select(*[c for c in PLAN_COLUMNS if c != "proposed_destination"], F.col("file_order").alias("seq"))
-    return name_destinations(needed, "seq").select(*PLAN_COLUMNS, "seq")
+    """The plan: ``PLAN_COLUMNS`` and seq, the plan's order: that of events and of files in
+    them. Rows are written before they get names, since ranges are found by a look at them."""
+    rows = plan_rows(files, events, root).select(*[c for c in PLAN_COLUMNS if c != "proposed_destination"], F.col("file_order").alias("seq"))
+    return name_destinations(write_table(rows, new_path(files.sparkSession, "plan")), "seq").select(*PLAN_COLUMNS, "seq")
 
 
 def from_records(events: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from eventsort.operators import cluster, dedup, enrich, naming, normalize, plan, review, select
+from eventsort.operators import cluster, dedup, enrich, naming, normalize, plan, positions, review, select
 
 REGISTRY = "seq long, file_name string, created_at string, created_at_source string, created_at_is_embedded boolean, hash_sha256 string, file_path string"
 ROWS = [
@@ -97,8 +97,10 @@ def many_ranges(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_hot_keys_span_ranges(spark, many_ranges):
+@pytest.mark.parametrize("hot", [50, 100_000])
+def test_hot_keys_span_ranges(spark, many_ranges, monkeypatch, hot):
     """One undated name, one instant, one hash and one destination, each over many ranges."""
+    monkeypatch.setattr(positions, "HOT_ROWS", hot)
     rows = [(i, "same.jpg", None, None, False, "h", f"/{i}") for i in range(400)]
     rows += [(1000 + i, "IMG-20240719-WA0004.jpg", None, None, False, "h", f"/{1000 + i}") for i in range(400)]
     rows += [(2000 + i, "x.jpg", "2024:07:20 10:00:00" if i < 399 else "2024:07:20 15:00:00", "CreateDate", True, "h", f"/{2000 + i}") for i in range(400)]
