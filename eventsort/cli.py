@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--only-auto-approved", action="store_true")
     a.add_argument("--cluster-id", action="append", default=[])
     a.add_argument("--overwrite", action="store_true")
+    a.add_argument("--verify", choices=("size", "hash"), default="size", help="what makes a file that is there the same")
     s = step("sort", "plan")
     r = step("review", "review-root", "general-root", "clusters", "target-root")
     for x in (a, s, r):
@@ -51,7 +52,7 @@ def main(argv: Sequence[str] | None = None) -> int:
     elif a.step == "plan":
         steps.preview(steps.make_plan(spark, a.clustered, a.out, a.target, a.json_array), "seq", columns=("seq", "proposed_action", "proposed_destination")).show(truncate=False)
     elif a.step == "apply":
-        done = steps.apply_plan(spark, a.plan, a.out, Selection(a.min_confidence, a.only_auto_approved, tuple(a.cluster_id), a.overwrite), a.execute)
+        done = steps.apply_plan(spark, a.plan, a.out, Selection(a.min_confidence, a.only_auto_approved, tuple(a.cluster_id), a.overwrite), a.execute, a.verify)
     elif a.step == "sort":
         done = steps.simple_sort(spark, a.plan, a.out, a.execute)
     else:

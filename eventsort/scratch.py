@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,7 +40,36 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a path of any kind; one without a scheme is Spark's default."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
+
+
+def write_text(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
+    """One file of the concatenated ``parts``: it is written beside its place, then renamed."""
+    fs, at = file_system(spark, path)
+    beside = at.suffix(".new")
+    out = fs.create(beside, True)
+    try:
+        held, size = [], 0
+        for part in parts:
+            held.append(part.encode())
+            size += len(held[-1])
+            if size > 1 << 20:
+                out.write(bytearray(b"".join(held)))
+                held, size = [], 0
+        out.write(bytearray(b"".join(held)))
+    finally:
+        out.close()
+    fs.delete(at, False)
+    fs.rename(beside, at)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import json
-import os
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..scratch import file_system, write_text
 
 
-def need(path: str, what: str) -> str:
-    if not os.path.exists(path):
+def need(spark: SparkSession, path: str, what: str) -> str:
+    """``path``, of any file system, if it is there."""
+    fs, at = file_system(spark, path)
+    if not fs.exists(at):
         raise FileNotFoundError(f"{what} not found: {path}")
     return path
 
@@ -54,25 +57,25 @@ def write_csv(plan: DataFrame, path: str, order: str | None = None) -> None:
 
 
 def write_array(df: DataFrame, path: str, order: str) -> None:
-    """A pretty JSON array in one local file, row by row: rows stream through the driver."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    """A pretty JSON array in one file, row by row: rows stream through the driver."""
     rows = df.orderBy(order).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
+
+    def parts() -> Iterator[str]:
+        yield "["
         for k, r in enumerate(rows.toLocalIterator()):
             text = json.dumps(json.loads(r["j"]), ensure_ascii=False, indent=2).replace("\n", "\n  ")
-            f.write(("," if k else "") + "\n  " + text)
-        f.write("\n]")
+            yield ("," if k else "") + "\n  " + text
+        yield "\n]"
+
+    write_text(df.sparkSession, path, parts())
 
 
 def now_utc() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
-def write_summary(summary: dict, path: str) -> dict:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(summary, f, ensure_ascii=False, indent=2)
+def write_summary(spark: SparkSession, summary: dict, path: str) -> dict:
+    write_text(spark, path, [json.dumps(summary, ensure_ascii=False, indent=2)])
     return summary
 
 

@@ -4,6 +4,9 @@ Spark's own file sources pass over names that begin with a dot or an underscore,
 so listings are a source of their own: one partition for the root's entries and
 one for each subtree below it.
 
+That reads folders that executors have mounted. Folders of other file systems (a path
+with a scheme) are listed by Spark's own binary file source, names and sizes only.
+
 Options: ``path``; ``depth`` (``all`` or ``one``); ``kind`` (``file``, ``dir`` or
 ``all``); ``extensions`` (comma-separated, lower case; empty: any).
 """
@@ -11,12 +14,14 @@ Options: ``path``; ``depth`` (``all`` or ``one``); ``kind`` (``file``, ``dir`` o
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.text import MEDIA_EXTENSIONS
+from ..functions.text import MEDIA_EXTENSIONS, suffix
 
 SCHEMA = "path string, name string, size bigint, is_dir boolean, modified double"
 
@@ -70,7 +75,20 @@ class ListingSource(DataSource):
         return ListingReader(self.options)
 
 
+def _remote(spark: SparkSession, path: str, depth: str = "all", kind: str = "file", extensions: str = "") -> DataFrame:
+    """The files of a folder of any file system that Spark reads."""
+    if kind != "file":
+        raise ValueError(f"only files are listed below {path}")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(depth == "all").lower()).load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = found.select("path", name.alias("name"), F.col("length").alias("size"), F.lit(False).alias("is_dir"), F.col("modificationTime").cast("double").alias("modified"))
+    return rows.where(F.lower(suffix(F.col("name"))).isin(*extensions.split(","))) if extensions else rows
+
+
 def listing(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    path = re.sub("^file:/+", "/", path)
+    if re.match("[a-zA-Z][a-zA-Z0-9+.-]+:", path):
+        return _remote(spark, path, **options)
     spark.dataSource.register(ListingSource)
     return spark.read.format("media_listing").options(path=path, **options).load()
 

@@ -106,6 +106,53 @@ def test_conflicts_and_renames(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "t")) == ["f.jpg", "f__dup02.jpg", "f__dup03.jpg", "f__dup04.jpg"]
 
 
+def test_acting_again_does_no_harm(spark, tmp_path):
+    """As when a task or a step is retried: on one decided table, twice."""
+    from eventsort.plans.actions import act, decide
+
+    for folder in ("s", "t"):
+        (tmp_path / folder).mkdir()
+    for k, n in enumerate(("a", "b", "c")):
+        (tmp_path / "s" / n).write_bytes(b"x" * (k + 1))
+    (tmp_path / "t" / "f.jpg").write_bytes(b"yyyyyy")
+    (tmp_path / "t" / "f__dup03.jpg").write_bytes(b"zz")
+    rows = spark.createDataFrame([(str(tmp_path / "s" / n), str(tmp_path / "t" / "f.jpg"), k) for k, n in enumerate(("a", "b", "c"))], "source string, target string, seq long")
+    for kind, word in (("copy", "copied"), ("move", "files_moved")):
+        decided = decide(rows, kind)
+        for _ in range(2):
+            done = act(decided, kind).orderBy("seq").collect()
+            assert [r["outcome"] for r in done] == [word] * 3 and all(os.path.getsize(r["final"]) == r["seq"] + 1 for r in done)
+    found = {n: os.path.getsize(tmp_path / "t" / n) for n in os.listdir(tmp_path / "t")}
+    assert found == {"f.jpg": 6, "f__dup03.jpg": 2, "f__dup02.jpg": 1, "f__dup04.jpg": 2, "f__dup05.jpg": 3, "f__dup06.jpg": 1, "f__dup07.jpg": 2, "f__dup08.jpg": 3}
+    assert os.listdir(tmp_path / "s") == []
+
+
+def test_verifying_by_hash(spark, tmp_path):
+    from eventsort.plans.actions import perform
+
+    for n, data in (("a", b"one"), ("b", b"two"), ("ta", b"one"), ("tb", b"TWO")):
+        (tmp_path / n).write_bytes(data)
+    rows = spark.createDataFrame([(str(tmp_path / n), str(tmp_path / f"t{n}"), k) for k, n in enumerate("ab")], "source string, target string, seq long")
+    found = lambda **k: [r["outcome"] for r in perform(rows, "copy", rename=False, **k).orderBy("seq").collect()]
+    assert found() == ["skipped_existing"] * 2 and found(verify="hash") == ["skipped_existing", "skipped_conflict"]
+    assert found(verify="hash", overwrite=True, execute=True) == ["copied"] * 2 and (tmp_path / "tb").read_bytes() == b"two"
+
+
+def test_paths_with_a_scheme(spark, tmp_path):
+    from eventsort.sources.listing import _remote
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "a.JPG").write_bytes(b"1")
+    (tmp_path / "d" / "b.txt").write_bytes(b"22")
+    url = f"file://{tmp_path}"
+    assert files.need(spark, url, "folder") == url and listing(spark, url).count() == 2
+    with pytest.raises(FileNotFoundError):
+        files.need(spark, f"{url}/none", "folder")
+    assert [(r["name"], r["size"]) for r in _remote(spark, url, extensions=".jpg").collect()] == [("a.JPG", 1)] and _remote(spark, url).count() == 2
+    files.write_summary(spark, {"n": 1}, f"{url}/x/s.json")
+    assert json.load(open(tmp_path / "x" / "s.json", encoding="utf-8")) == {"n": 1}
+
+
 def test_reviews(spark, tmp_path):
     root = tmp_path / "_REVIEW"
     for folder, name in (("2024-07-19_event-0003_A", "x/a.jpg"), ("2024-07-19_event-0003_A", "y/a.jpg"), ("2024-07-21_event-0005_G", "b.jpg"), ("plain", "c.jpg"), ("trip_G", "d.jpg")):
