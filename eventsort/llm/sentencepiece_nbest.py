@@ -64,13 +64,13 @@ class PieceModel:
         self.unknown = model.unk_id()
         self.unknown_score = min(self.scores[i] for i in self.ids.values()) - UNKNOWN_PENALTY
         self.adjacent = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        # a node: next characters' nodes, and under "" (id, score) where a piece ends
-        self.trie: dict = {}
+        # by character: (the same for what follows, id and score of the piece that ends here; id -1 for none)
+        self.trie: dict[str, tuple] = {}
         for p, i in self.ids.items():
             node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = (i, self.scores[i])
+            for c in p[:-1]:
+                node = node.setdefault(c, ({}, -1, 0.0))[0]
+            node[p[-1]] = (node.get(p[-1], ({},))[0], i, self.scores[i])
         self.surface = [bytes([int(p[3:5], 16)]) if byte else b"" if other else p.replace(SPACE, " ").encode() for p, (byte, other) in zip(self.pieces, kinds, strict=True)]
         self.rough = self._rough()
         self.solved: dict[str, tuple] = Remembered(self._solve, CACHE_UNITS)
@@ -87,34 +87,64 @@ class PieceModel:
 
     # --- one lattice ---
 
-    def paths(self, unit: str, n: int) -> list[Path]:
-        """The ``n`` best (score, ids) of the lattice over ``unit``, best first.
-
-        Every hypothesis of the search is the tail of a path with exactly its
-        estimate, so no more than the ``n`` best hypotheses need be kept."""
-        size, trie = len(unit), self.trie
+    def _forward(self, unit: str) -> tuple[list[float], list[list[tuple[int, int, float]]]]:
+        """By place: the best score from the start, and the pieces (start, id, score) that end there."""
+        size, trie, known = len(unit), self.trie, self.ids
         best: list[float] = [0.0] + [-inf] * size
         into: list[list[tuple[int, int, float]]] = [[] for _ in range(size + 1)]
         for i in range(size):
-            here, j, node = best[i], i, trie
-            for c in unit[i:]:
-                node = node.get(c)
-                if node is None:
+            here, node = best[i], trie
+            for j in range(i, size):
+                found = node.get(unit[j])
+                if found is None:
+                    break
+                node, piece, score = found
+                if piece >= 0:
+                    into[j + 1].append((i, piece, score))
+                    score += here
+                    if score > best[j + 1]:
+                        best[j + 1] = score
+                if not node:
                     break
-                j += 1
-                if "" in node:
-                    piece, score = node[""]
-                    into[j].append((i, piece, score))
-                    if here + score > best[j]:
-                        best[j] = here + score
-            if unit[i] not in self.ids:
+            if unit[i] not in known:
                 into[i + 1].append((i, -1, self.unknown_score))
                 best[i + 1] = max(best[i + 1], here + self.unknown_score)
+        return best, into
+
+    def second(self, unit: str) -> tuple[list[int], float, float]:
+        """(ids, score, loss of the second best) of the lattice's best path. The search for
+        two paths follows one back, and the best hypothesis it leaves open is the other."""
+        best, into = self._forward(unit)
+        at, ids, least = len(unit), [], inf
+        while at:
+            top = other = -inf
+            for start, piece, score in into[at]:
+                score += best[start]
+                if score > top:
+                    other, top, before, chosen = top, score, start, piece
+                elif score > other:
+                    other = score
+            if top - other < least:
+                least = top - other
+            if chosen >= 0:
+                ids.append(chosen)
+            else:
+                ids += self._as_bytes(unit[before:at])[::-1]
+            at = before
+        return ids[::-1], best[-1], least
+
+    def paths(self, unit: str, n: int) -> list[Path]:
+        """The ``n`` best (score, ids) of the lattice over ``unit``, best first.
+
+        Every hypothesis of the search is the tail of a path with exactly its
+        estimate, so no more than the ``n`` best hypotheses need be kept."""
+        size = len(unit)
+        best, into = self._forward(unit)
         out: list[Path] = []
         # (estimate, -order, place, score of the tail, tail), best last
         open_: list[tuple[float, int, int, float, tuple | None]] = [(best[size], 0, size, 0.0, None)]
-        order = 0
-        while open_ and len(out) < n:
+        order, room, least = 0, n, -inf  # ``least``: what an estimate must exceed, once ``room`` are open
+        while open_ and room:
             _, _, at, done, tail = open_.pop()
             if not at:
                 ids: list[int] = []
@@ -122,16 +152,19 @@ class PieceModel:
                     start, end, piece, tail = tail
                     ids += (piece,) if piece >= 0 else self._as_bytes(unit[start:end])
                 out.append((done, tuple(ids)))
-                continue
-            room = n - len(out)
-            for start, piece, score in into[at]:
-                score += done
-                estimate = best[start] + score
-                if len(open_) < room or estimate > open_[0][0]:
-                    order -= 1
-                    insort(open_, (estimate, order, start, score, (start, at, piece, tail)))
-                    if len(open_) > room:
-                        del open_[0]
+                room -= 1
+            else:
+                least = open_[0][0] if len(open_) >= room else -inf
+                for start, piece, score in into[at]:
+                    score += done
+                    estimate = best[start] + score
+                    if estimate > least:
+                        order -= 1
+                        insort(open_, (estimate, order, start, score, (start, at, piece, tail)))
+                        if len(open_) > room:
+                            del open_[0]
+                        if len(open_) == room:
+                            least = open_[0][0]
         return out
 
     def _as_bytes(self, text: str) -> list[int]:
@@ -142,13 +175,21 @@ class PieceModel:
     def _part(self, part: str, n: int) -> tuple:
         return tuple((s, array("I", ids).tobytes()) for s, ids in self.paths(part, n))
 
+    def _cuts(self, unit: str) -> list[int]:
+        return [0, *[k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.adjacent], len(unit)]
+
     def _solve(self, unit: str) -> tuple:
         """(ids of the best path, its score, the second's loss) of a rough unit."""
-        tops = self._tops(unit, 2)
-        return tops[0][1], tops[0][0], tops[0][0] - tops[1][0] if len(tops) > 1 else inf
+        cuts = self._cuts(unit)
+        found = [self.second(unit[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        loss = min(x[2] for x in found)
+        if loss < 1e-6:  # of equal paths, the one that the search for n finds first
+            tops = self._tops(unit, 2)
+            return tops[0][1], tops[0][0], 0.0
+        return array("I", [i for x in found for i in x[0]]).tobytes(), sum([x[1] for x in found]), loss
 
     def _tops(self, unit: str, n: int) -> Sequence[tuple[float, bytes]]:
-        cuts = [0, *[k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.adjacent], len(unit)]
+        cuts = self._cuts(unit)
         if len(cuts) == 2:
             return self._part(unit, n)
         return combine([self._part(unit[a:b], n) for a, b in zip(cuts, cuts[1:], strict=False)], n)
