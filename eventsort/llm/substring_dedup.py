@@ -62,7 +62,7 @@ BUCKET_HASHES, WORD_BYTES, SPARSE = 2_000_000, 6, 5
 #: Words of the parts whose least hash is a window's minimizer.
 ANCHOR = 5
 #: Hashes that a task combines at a time.
-COMBINE = 1_000_000
+COMBINE = 500_000
 
 #: A hash of id and text: rows that share an id are told apart by it.
 SAME = "__same"
@@ -134,7 +134,7 @@ class _Documents:
         by = np.lexsort((same, ids))
         new = np.ones(len(by), bool)
         new[1:] = (ids[by][1:] != ids[by][:-1]) | (same[by][1:] != same[by][:-1])
-        number = np.empty(len(by), np.int64)
+        number = np.empty(len(by), np.int32)
         number[by] = np.cumsum(new) - 1
         self.ids, self.same = ids[by][new], same[by][new]
         doc = number[doc]
@@ -143,9 +143,18 @@ class _Documents:
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
         self.doc, self.h, self.check = doc[new], h[new], check[new]
+
+    @property
+    def first(self) -> np.ndarray:
+        """Of each entry, the first with its hash."""
+        ends = _ends(self.h)
+        return np.repeat(_starts(ends), np.diff(np.r_[0, ends]))
+
+    def shared(self) -> np.ndarray:
+        """Which entries' hashes more than one id has."""
         ends = _ends(self.h)
-        self.first = np.repeat(_starts(ends), np.diff(np.r_[0, ends]))
-        self.last = np.repeat(ends - 1, np.diff(np.r_[0, ends]))
+        several = self.ids[self.doc[_starts(ends)]] != self.ids[self.doc[ends - 1]] if len(ends) else np.zeros(0, bool)
+        return np.repeat(several, np.diff(np.r_[0, ends]))
 
     def by_document(self, which: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
         """Ids and sames of the documents of some entries, and the hashes of each."""
@@ -209,8 +218,8 @@ def _combined(batches: Iterator[pa.RecordBatch], hashes: Callable, emit: Callabl
 
 def _repeats(found: _Documents, buckets: int, borders: np.ndarray) -> Iterator[pa.RecordBatch]:
     """What of a task's windows the index must see, and what is known to be repeated."""
-    ids = found.ids[found.doc]
-    repeated = (ids > ids[found.first]) & (found.check == found.check[found.first])
+    ids, first = found.ids[found.doc], found.first
+    repeated = (ids > ids[first]) & (found.check == found.check[first])
     yield found.blocks(~repeated, buckets, borders)
     if repeated.any():
         yield found.cuts(repeated, buckets)
@@ -241,9 +250,8 @@ def _minimizer_blocks(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         return doc[new], h[new], np.zeros(int(new.sum()), np.uint32)
 
     def send(found: _Documents) -> Iterator[pa.RecordBatch]:
-        ids = found.ids[found.doc]
-        shared = ids[found.first] != ids[found.last]  # known here: one entry speaks for all
-        yield found.blocks(~shared | (found.first == np.arange(len(ids))), buckets, none)
+        shared = found.shared()  # known here: one entry speaks for all
+        yield found.blocks(~shared | (found.first == np.arange(len(shared))), buckets, none)
         if shared.any():
             yield found.cuts(shared, buckets)
 
@@ -265,8 +273,7 @@ def _shared(block: pa.Table) -> pa.Table:
     kind = block.column("kind")
     known = block.filter(pc.equal(kind, "cut")).select(["doc_id", "same", "hashes"])
     found = _entries(block.filter(pc.equal(kind, "in")))
-    ids = found.ids[found.doc]
-    made = pa.table(dict(zip(("doc_id", "same", "hashes"), found.by_document(ids[found.first] != ids[found.last]), strict=True)))
+    made = pa.table(dict(zip(("doc_id", "same", "hashes"), found.by_document(found.shared()), strict=True)))
     give_back()
     return pa.concat_tables([made, known], promote_options="default")
 
