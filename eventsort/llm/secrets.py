@@ -195,14 +195,20 @@ def joined(kinds: Sequence[str]) -> Column:
 
 
 def redact(scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """What ``scan`` returned without the spans; each run of overlapping spans is replaced by ``mask``."""
+    """What ``scan`` returned without the spans; each run of overlapping spans is replaced by ``mask``.
+
+    The characters of a text with spans become an array once, and each gap between
+    spans is a slice of it, so a text is not copied once for each span."""
     spans = F.array_sort(F.concat(*KINDS[:4]))
 
     def step(s: Column, x: Column) -> Column:
-        gap = F.substring(s["text"], s["at"] + 1, x["start"] - s["at"])
-        out = F.when(x["start"] >= s["at"], F.concat(s["out"], gap, F.lit(mask))).otherwise(s["out"])
-        return F.struct(s["text"].alias("text"), F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
+        gap = F.array(F.struct(s["at"].alias("start"), x["start"].alias("end")))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], F.concat(s["gaps"], gap)).otherwise(s["gaps"]).alias("gaps"))
+
+    def kept(chars: Column) -> Column:
+        last = lambda s: F.concat(s["gaps"], F.array(F.struct(s["at"].alias("start"), F.size(chars).alias("end"))))
+        gaps = F.aggregate(spans, F.struct(F.lit(0).alias("at"), _none().alias("gaps")), step, last)
+        return F.array_join(F.transform(gaps, lambda g: F.array_join(F.slice(chars, g["start"] + 1, g["end"] - g["start"]), "")), mask)
 
-    zero = F.struct(F.col("text").alias("text"), F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda s: F.concat(s["out"], F.substring(s["text"], s["at"] + 1, F.char_length(s["text"])))
-    return scanned.select("doc_id", F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(F.col("text")).alias("text"), *scanned.columns[6:])
+    text = F.when(F.size(spans) > 0, _once(F.split("text", ""), kept)).otherwise(F.col("text"))
+    return scanned.select("doc_id", text.alias("text"), *scanned.columns[6:])

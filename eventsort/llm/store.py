@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..scratch import drop_table, new_path, shared_folder, write_table
+from ..scratch import drop_table, new_path, read_text, shared_folder, write_table, write_text
 
 __all__ = ["drop_table", "new_path", "release", "read_text", "shared_folder", "small_batches", "type_of", "write_table", "write_text"]
 
@@ -32,25 +32,3 @@ def release(spark: SparkSession) -> None:
 
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
-
-
-def _file_system(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, whole or not at all: it is written beside its place and renamed."""
-    fs, at = _file_system(spark, path)
-    beside = at.suffix(".new")
-    out = fs.create(beside, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-    fs.delete(at, False)
-    fs.rename(beside, at)
-
-
-def read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).first()[0]

@@ -380,7 +380,7 @@ class FingerprintIndex:
     def save(self) -> None:
         """Writes the manifest. A batch whose manifest was not written is as if it had not come."""
         kept = {"width": self.width, "buckets": self.buckets, "fan_in": self.fan_in, "made": self.made, "runs": [(level, path.rsplit("/", 1)[1]) for level, path in self.runs]}
-        write_text(self.spark, f"{self.folder}/manifest.json", json.dumps(kept))
+        write_text(self.spark, f"{self.folder}/manifest.json", [json.dumps(kept)])
 
     def _path(self, name: str) -> str:
         self.made += 1

@@ -5,10 +5,13 @@ from __future__ import annotations
 import random
 import re
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from eventsort.llm.store import new_path, write_table
 
 from .conftest import frame, odd_texts, prose
+from .test_counts_and_packing import PATH, check
 from .test_text_operators import base_spans, components, deduplicated, statistics, words
 
 SECRET = "token = abcdef123456"
@@ -62,7 +65,10 @@ def test_stages(spark, tmp_path):
     assert {str(r["doc_id"]): r["text"] for r in clean.collect() if str(r["doc_id"]) in untouched} == untouched
 
     packed = stages["best_fit_packing"](spark, clean, str(tmp_path)).collect()
-    assert {str(r["doc_id"]) for r in packed} == {str(r["doc_id"]) for r in clean.collect()}
+    left = [(r["doc_id"], r["text"]) for r in clean.collect()]
+    check(packed, left, Tokenizer.from_file(PATH), 1024)
+    used = sum(r["length"] for r in packed)
+    assert len({r["sequence_id"] for r in packed}) <= 1.05 * used / 1024 + 1
 
 
 def test_runs_over_the_tables(spark):
