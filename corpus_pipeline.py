@@ -13,6 +13,13 @@ the last return the columns of docs, whatever these are.
 4. secret_scans: secrets are replaced by a mark.
 5. best_fit_packing: tokens are packed into sequences; the rows are the pieces.
 
+Cases, the same in every stage: a null text counts as empty, so it goes in the first
+stage; texts are taken whole, however long; rows with a null id stay rows of their
+own (substring_dedup neither compares nor cuts them); of rows that are equal, or near,
+one stays, and which one does not depend on how rows are dealt; an empty table gives
+an empty table. Other columns are carried along whatever their names, but for
+``__row``, ``__key`` and ``__same``, which must not be taken; ``n_chars`` follows the text.
+
 The rules are learned from labels, tokens come from a vocabulary file and
 sequences from a fit, so SQL can't express the stages; tests compare them with
 brute force.
@@ -55,6 +62,8 @@ def _with_text(docs: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the base rule and the learned list keep, as they were. Texts of fewer
+    than 50 words, null ones among them, go."""
     rules = quality_rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     judged = quality_rules.apply_rules(docs, rules, carry=[_whole_row(docs)])
     return judged.where("kept").select(f"{ROW}.*")
@@ -67,6 +76,9 @@ def _row_key(docs: DataFrame) -> Column:
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked rows one, as it was: that of the smallest id, null last,
+    then of the smallest hash of the row. Rows without words, and rows of one id with
+    texts that are not linked, are no group."""
     members = ngram_join.members(docs, width=5, percent=75, carry=[_row_key(docs)])
     copies = members.where("label is not null").groupBy("label", "doc_id", KEY).agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", KEY, "n"))
@@ -82,15 +94,20 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without the words of passages that a smaller id has; a row that loses all its
+    words goes, one that had none stays."""
     done = substring_dedup.deduplicate(docs.select("doc_id", "text", _whole_row(docs)), width=13, carry=[ROW])
     return _with_text(docs, done.where("n_removed = 0 or n_removed < n_words"))
 
 
 def secret_scans_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, with ``[SECRET]`` in place of secrets; texts without any are as they were."""
     return _with_text(docs, secrets.redact(secrets.scan(docs, carry=[_whole_row(docs)])))
 
 
 def best_fit_packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every row, with their places in sequences: a null text is a piece of
+    its end token alone, equal rows are packed as often as they occur."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024, keep_ids=False)
 
 
