@@ -165,6 +165,11 @@ def cluster_files(spark, sf_dir):
     return plan.from_records(events).select("cluster_id", "position", "file_name", "file_path", "effective_timestamp", F.col("effective_timestamp_precision").alias("prec"))
 
 
+@query("SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY instant, lower(file_name), seq) - 1 AS position, file_path, time_source FROM files", v.CLUSTERED_SQL)
+def cluster_file_rows(spark, sf_dir):
+    return cluster.file_rows(_clustered(spark, sf_dir)).select("cluster_id", "position", "file_path", F.col("effective_timestamp_source").alias("time_source"))
+
+
 @query("SELECT cluster_id, event_day, file_count, cluster_confidence FROM clusters ORDER BY cluster_no LIMIT 10", v.CLUSTERED_SQL)
 def top10_clusters(spark, sf_dir):
     return cluster.summarize(_clustered(spark, sf_dir)).orderBy("cluster_no").limit(10).select("cluster_id", "event_day", "file_count", "cluster_confidence")
@@ -191,6 +196,11 @@ def duplicate_path_groups(spark, sf_dir):
     return g.select("hash_sha256", "files", F.element_at("paths", 1).alias("first_path"), F.element_at("paths", -1).alias("last_path"))
 
 
+@query("SELECT hash_sha256, files, row_number() OVER (PARTITION BY hash_sha256 ORDER BY seq) - 1 AS position, file_path FROM (SELECT *, count(*) OVER (PARTITION BY hash_sha256) AS files FROM media) WHERE files > 1", v.MEDIA_SQL)
+def duplicate_path_rows(spark, sf_dir):
+    return dedup.group_rows(v.media(spark, sf_dir))
+
+
 @query(f"SELECT seq, r AS copy_rank, first(file_path) OVER (PARTITION BY hash_sha256 ORDER BY r) AS primary_path FROM (SELECT *, CAST({v.COPY_RANK_SQL} AS INTEGER) AS r FROM media)", v.MEDIA_SQL)
 def duplicate_ranking(spark, sf_dir):
     rows = dedup.ranked(dedup.flag(v.media(spark, sf_dir)))

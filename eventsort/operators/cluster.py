@@ -109,8 +109,17 @@ def histogram_maps(clustered: DataFrame, column: str, name: str) -> DataFrame:
 FILE_FIELDS = ("file_name", "file_path", "effective_timestamp", "effective_timestamp_source", "effective_timestamp_confidence", "effective_timestamp_precision")
 
 
+def file_rows(clustered: DataFrame) -> DataFrame:
+    """(cluster_id, position, *FILE_FIELDS): an event's files in order, from 0, a row each,
+    however many an event has."""
+    first = clustered.groupBy("cluster_id").agg(F.min("file_order").alias("__first"))
+    placed = clustered.join(first, "cluster_id")
+    return placed.select("cluster_id", (F.col("file_order") - F.col("__first")).alias("position"), *FILE_FIELDS)
+
+
 def files(clustered: DataFrame) -> DataFrame:
-    """(cluster_id, files): an event's files in order, as structs."""
+    """(cluster_id, files): an event's files in order, as structs, for the nested records
+    that people read; an event is one row here. ``file_rows`` has no such bound."""
     order = F.struct(F.col(f"{TIME}.epoch").alias("epoch"), F.lower("file_name").alias("name"), "seq")
     ordered = F.array_sort(F.collect_list(F.struct(order.alias("order"), F.struct(*FILE_FIELDS).alias("file"))))
     return clustered.groupBy("cluster_id").agg(F.transform(ordered, lambda x: x["file"]).alias("files"))

@@ -9,8 +9,17 @@ from ..functions.text import duplicate_penalty
 from .positions import turns
 
 
+def group_rows(registry: DataFrame) -> DataFrame:
+    """(hash_sha256, files, position, file_path) of hashes that several files have, a row
+    for each file, in order of seq from 0."""
+    counts = registry.groupBy(F.col("hash_sha256").alias("__hash")).agg(F.count(F.lit(1)).alias("files")).where("files > 1")
+    rows = turns(registry, ["hash_sha256"], ["seq"], "__turn").join(counts, F.col("hash_sha256").eqNullSafe(F.col("__hash")))
+    return rows.select("hash_sha256", "files", (F.col("__turn") - 1).alias("position"), "file_path")
+
+
 def groups(registry: DataFrame) -> DataFrame:
-    """(hash_sha256, files, paths) of hashes that several files have, paths in order of seq."""
+    """(hash_sha256, files, paths) of hashes that several files have, paths in order of seq:
+    a hash is one row here, for reports. ``group_rows`` has no such bound."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "file_path"))), lambda x: x["file_path"])
     return registry.groupBy("hash_sha256").agg(F.count(F.lit(1)).alias("files"), ordered.alias("paths")).where("files > 1")
 

@@ -49,6 +49,7 @@ def _map(rows: DataFrame, key: str, value: str) -> dict:
 
 def summarize(spark: SparkSession, registry: str, out: str) -> dict:
     rows = flat(files.read_registry(spark, files.need(spark, registry, "registry")))
+    files.write_lines(dedup.group_rows(rows), os.path.join(out, "duplicate_files"))
     groups = dedup.groups(rows)
     files.write_lines(groups, os.path.join(out, "duplicates"))
     return files.write_summary(
@@ -72,6 +73,7 @@ def clusters(spark: SparkSession, registry: str, out: str, array: bool = False)
     rows.write.mode("overwrite").parquet(path)
     stored = spark.read.parquet(path)
     files.write_lines(stored.drop(enrich.TIME, "cluster_no", "day_sequence", "event_day", "file_order"), os.path.join(out, "enriched"))
+    files.write_lines(cluster.file_rows(stored), os.path.join(out, "event_files"))
     files.write_lines(cluster.event_table(stored), os.path.join(out, "events"), order="cluster_no")
     events = files.read_events(spark, os.path.join(out, "events"))
     if array:
