@@ -203,7 +203,7 @@ def duplicate_path_rows(spark, sf_dir):
 
 @query(f"SELECT seq, r AS copy_rank, first(file_path) OVER (PARTITION BY hash_sha256 ORDER BY r) AS primary_path FROM (SELECT *, CAST({v.COPY_RANK_SQL} AS INTEGER) AS r FROM media)", v.MEDIA_SQL)
 def duplicate_ranking(spark, sf_dir):
-    rows = dedup.ranked(dedup.flag(v.media(spark, sf_dir)))
+    rows = dedup.flag(dedup.ranked(v.media(spark, sf_dir)))
     return rows.select("seq", "copy_rank", "primary_path")
 
 
