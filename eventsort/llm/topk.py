@@ -166,7 +166,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     asked = placed(rows.where(is_query).dropDuplicates(["vec_id", "key"])).join(plan, ["dims", "axis"], "left")
     # a query is a candidate of others, or equal to one, so its own component has a block
     asked = write_table(asked.select("vec_id", "v", "key", "dims", block.alias("home"), F.lit(None).cast("long").alias("floor")), new_path(spark, "queries"))
-    parts = 1 + asked.count() // QUERY_ROWS
     dealt = candidates.join(plan, ["dims", "axis"]).select("vec_id", "v", "copies", "dims", block.alias("block"))
 
     def meet(queries: DataFrame, blocks: Column, parts: Column, part: Column) -> DataFrame:
@@ -175,16 +174,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
         return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_answer(k), _OUT)
 
     # a block is the home of as many queries as of its rows are, or of more if they are equal
-    most = asked.groupBy("home").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    counts = asked.groupBy("home").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    parts, at_home = (1 + (counts[c] or 0) // QUERY_ROWS for c in ("all", "most"))
     number = lambda n: F.pmod(F.xxhash64("vec_id", "key"), F.lit(n)).cast("int")
-    at_home = 1 + most // QUERY_ROWS
     home = write_table(meet(asked, F.array("home"), F.sequence(F.lit(0), F.lit(at_home - 1)), number(at_home)), new_path(spark, "home"))
+    best = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id"))
+    ranked = lambda found: found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if all(first + many <= 1 for _, _, first, many in axes):
+        return ranked(home)  # there is one block
     floors = home.groupBy("query_id", "query_key").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     known = asked.drop("floor").join(floors.select(F.col("query_id").alias("vec_id"), F.col("query_key").alias("key"), "floor"), ["vec_id", "key"], "left")
     # blocks of vectors of one length have consecutive numbers
     spans = plan.groupBy("dims").agg(F.min("first").alias("low"), F.max(F.col("first") + F.col("many") - 1).alias("high"))
     every = F.filter(F.sequence("low", "high"), lambda b: b != F.col("home"))
     away = meet(known.join(F.broadcast(spans), "dims"), every, F.sequence(F.lit(0), F.lit(parts - 1)), number(parts))
-    found = home.union(away)
-    rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked(home.union(away))
