@@ -52,13 +52,14 @@ CLASSES = (
     CharacterClass("lower", "0123456789abcdefghijklmnopqrstuvwxyz", 3.5, ("[0-9]+[a-z]+[0-9]",)),
     CharacterClass("upper", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 3.5, ("[0-9]+[A-Z]+[0-9]",)),
 )
-#: Candidates that match one of these are no secrets.
+#: Candidates that match one of these are no secrets. Groups repeat possessively: others
+#: take a stack frame a round, which a very long candidate has too many of.
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$",  # identifiers in the usual form
     r"(?i)example|sample|dummy|placeholder|changeme",
     r"(?i)0123456789|abcdefghij|(.)\1{7}",
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([-_/][A-Za-z]+)*([-_/T]?[0-9]{1,6})?$",  # dates, with words or a time
-    r"^[A-Za-z]+[0-9]{0,4}([-_/][A-Za-z]+)*[-_/][0-9]{1,4}$",  # slugs with a number
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([-_/][A-Za-z]+)*+([-_/T]?[0-9]{1,6})?$",  # dates, with words or a time
+    r"^[A-Za-z]+[0-9]{0,4}([-_/][A-Za-z]+)*+[-_/][0-9]{1,4}$",  # slugs with a number
 )
 WINDOW = 20
 #: What parts of a candidate stand between.
@@ -152,7 +153,8 @@ def _suspicious(candidate: Column, classes: Sequence[CharacterClass], allowed: S
 
 def entropy_spans(text: Column, classes: Sequence[CharacterClass] = CLASSES, allowed: Sequence[str] = ALLOWED, window: int = WINDOW) -> Column:
     pattern = f"[A-Za-z0-9+/_=-]{{{window},}}"
-    head = f"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{{window},}}"
+    # runs with a digit, each looked at from its beginning only
+    head = f"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{{window},}}"
     part = f"[A-Za-z0-9]{{{window},}}"
     spans = match_spans(text, F.lit(True), pattern)
     texts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

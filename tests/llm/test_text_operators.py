@@ -445,6 +445,13 @@ def test_entropy_takes_one_letter_case_and_what_stands_beside_a_key(spark):
     assert got == {k: [(4, 4 + len(t))] if k < len(secret) else [] for k, t in enumerate(secret + clean)}
 
 
+def test_very_long_candidates(spark):
+    key = "x7k9q2m4w8r3t5y6z1p0"
+    texts = [(0, "ab-" * 40_000 + "1"), (1, "2024-01-02" + "-ab" * 40_000), (2, "ab/" * 40_000 + key), (3, "a" * 400_000), (4, "a" * 400_000 + f" {key}")]
+    got = {r["doc_id"]: [tuple(s) for s in r["entropy"]] for r in secrets.scan(frame(spark, texts)).collect()}
+    assert got == {0: [], 1: [], 2: [(0, 120_020)], 3: [], 4: [(400_001, 400_021)]}
+
+
 def test_redaction(spark, empty):
     texts = [(1, 'é token = "abcdefgh1234" end'), (2, None), (3, "clean"), (4, "AKIA" + "A1" * 10 + " x " + "0a" * 15)]
     got = {r["doc_id"]: r["text"] for r in secrets.redact(secrets.scan(frame(spark, texts))).collect()}
