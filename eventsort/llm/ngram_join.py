@@ -26,12 +26,14 @@ then on. A pair links if its Jaccard similarity is at least ``percent`` / 100.
    linked sets are united; pairs that are already connected need no test. A block
    of more than ``PART_SETS`` sets or ``PART_BYTES`` bytes is cut into parts: each
    part first meets a few pivots of the block, which connects groups of near copies
-   in linear work; what links with no pivot then meets every part.
+   in linear work; pivots that a set links with both are one group. What links with no
+   pivot then meets every part, and so does what links with one and is so close to a
+   pivot of another group that a link across is possible, but for the largest group's.
 
 No link is lost: each step drops only what cannot link. Nothing of the corpus is
 collected; buckets, bins and parts are of bounded size as their number follows
 the input. Work grows with the square only in the sets of one block that link with
-none of its pivots. Components span tasks by star contraction (``graph``).
+none of its pivots, or are between two groups. Components span tasks by star contraction (``graph``).
 
 Cases: null texts and texts without words have the empty set and link with
 nothing, not even each other; a text with fewer words than ``width`` has its
@@ -469,7 +471,10 @@ class _Sets:
         self.points = _point(np.concatenate(self.grams), np.repeat(np.arange(n), [len(s) for s in self.grams]), n) if n else np.zeros((0, GROUPS), np.int64)
 
     def link(self, x: int, y: int) -> bool:
-        return (100 + self.percent) * _overlap(self.grams[x], self.grams[y]) >= self.percent * int(self.size[x] + self.size[y])
+        return self.alike(x, y, self.percent)
+
+    def alike(self, x: int, y: int, percent: int) -> bool:
+        return (100 + percent) * _overlap(self.grams[x], self.grams[y]) >= percent * int(self.size[x] + self.size[y])
 
 
 def _verify(percent: int):
@@ -488,31 +493,43 @@ def _verify(percent: int):
 
 def _near_pivots(percent: int):
     def check(part: pa.Table, pivots: pa.Table) -> pa.Table:
-        """A part of a large block: each set (b) and the least of the pivots that are
-        linked with one that it links with (a; null if there is none)."""
+        """A part of a large block: each set, the pivots that it links with as bits of
+        ``mask``, in the order of their names, those that a set it links with may link
+        with as bits of ``close``, and a pivot's own place among them."""
+        pivots = pivots.sort_by("node")
         n = pivots.num_rows
         sets = _Sets(pa.concat_tables([t.select(["size", "a"]) for t in (pivots, part)], promote_options="default"), percent)
-        union = Union(n)
-        for x in range(n):
-            for y in range(x):
-                if union.root(x) != union.root(y) and sets.link(x, y):
-                    union.join(x, y)
-        roots = union.roots(np.arange(n))
-        named = pivots.column("node").to_numpy()
-        least = np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(least, roots, named)
-        tree = CountRTree(sets.points[:n], sets.size[:n], percent) if n else None
-        found: list[int | None] = []
-        for k in range(n, n + part.num_rows):
-            near = tree.near(sets.points[k], int(sets.size[k])).tolist() if tree else []
-            y = next((y for y in near if sets.link(k, y)), None)
-            found.append(None if y is None else int(least[roots[y]]))
-        # pivots of a block link with each other in every part alike; sets that link with several unite these
-        return pa.table({"a": pa.array(found, pa.int64()), "b": part.column("node"), "block": part.column("block")})
+        further = max(0, 2 * percent - 100)  # 1 - Jaccard similarity is a metric
+        masks, close = ([sum(1 << y for y in range(n) if sets.alike(k, y, p)) for k in range(n, n + part.num_rows)] for p in (percent, further))
+        place = {x: k for k, x in enumerate(pivots.column("node").to_pylist())}
+        own = [place.get(x) for x in part.column("node").to_pylist()]
+        numbers = {k: pa.array(v, pa.int64()) for k, v in (("mask", masks), ("close", close), ("place", own))}
+        return pa.table({"node": part.column("node"), "block": part.column("block")} | numbers)
 
     return check
 
 
+def _sides(block: pa.Table) -> pa.Table:
+    """The masks of a block, how many sets have each, and its pivots: the least pivot
+    that each is connected with by way of masks (null for none), and whether its sets
+    ask. Those without a pivot do, and those that are close to a pivot of another group
+    unless theirs is the largest. Where two sets of different groups link, each is close
+    to the other's pivot, so one of them asks."""
+    masks, close, sets = (block.column(c).to_pylist() for c in ("mask", "close", "sets"))
+    names = {p["place"]: p["node"] for own in block.column("pivots").to_pylist() for p in own}
+    union = Union(len(names))
+    bits = [[k for k in names if mask >> k & 1] for mask in masks]
+    for own in bits:
+        for k in own[1:]:
+            union.join(own[0], k)
+    roots = [union.root(own[0]) if own else None for own in bits]
+    held = {r: sum(n for n, x in zip(sets, roots, strict=True) if x == r) for r in roots if r is not None}
+    home = max(held, key=lambda r: (held[r], -r), default=None)
+    asks = [r is None or (r != home and any(c >> k & 1 and union.root(k) != r for k in names)) for r, c in zip(roots, close, strict=True)]
+    root = pa.array([None if r is None else names[r] for r in roots], pa.int64())
+    return pa.table({c: block.column(c) for c in ("block", "mask", "close")} | {"root": root, "asks": pa.array(asks, pa.bool_())})
+
+
 def _meet(percent: int):
     def check(task: pa.Table) -> pa.Table:
         """Sets that ask, and a part of their block: stars of groups with a set that asks."""
@@ -541,26 +558,27 @@ def _meet(percent: int):
 def _large_blocks(spark: SparkSession, large: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
     """(a, b): pairs that connect the linked sets of blocks (node, block, size, a, parts)
     that are too large for a task, and the tables they are in."""
-    paths = [new_path(spark, name) for name in ("large", "near")]
+    paths = [new_path(spark, name) for name in ("large", "near", "sides")]
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     held = write_table(large.withColumn("part", part), paths[0])
     row = F.struct("node", "size", "a")
     picked = held.groupBy("block", "parts").agg(F.array_distinct(F.array(*[F.min_by(row, F.xxhash64("node", F.lit(k))) for k in range(PIVOTS)])).alias("pivots"))
     pivots = picked.select("block", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), "pivots").select("block", "part", F.inline("pivots"))
-    near = held.groupBy("block", "part").cogroup(pivots.groupBy("block", "part")).applyInArrow(_near_pivots(percent), "a long, b long, block long")
+    near = held.groupBy("block", "part").cogroup(pivots.groupBy("block", "part")).applyInArrow(_near_pivots(percent), "node long, block long, mask long, close long, place long")
     near = write_table(near, paths[1])
-    linked = near.where("a is not null").select("a", "b")
-    # a set may link with pivots of several groups: those that are linked with some pivot are told by the first, so
-    # pivots themselves ask too, and so does every set that links with none
-    asked = near.where("a is null").select(F.col("b").alias("node"), "block")
-    asked = asked.union(pivots.where("part = 0").select("node", "block")).distinct()
-    many = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PART_SETS).alias("turns"))
-    rooted = held.join(near.select(F.col("b").alias("node"), F.col("a").alias("root")), "node").join(many, "block")
-    rows = rooted.join(asked.select("node", F.lit(True).alias("__asks")), "node", "left").withColumn("turn", F.pmod(F.xxhash64("node"), F.col("turns")).cast("int"))
+    pivot = F.when(F.col("place").isNotNull(), F.struct("place", "node"))
+    masks = near.groupBy("block", "mask", "close").agg(F.count(F.lit(1)).alias("sets"), F.collect_list(pivot).alias("pivots"))
+    sides = write_table(masks.groupBy("block").applyInArrow(_sides, "block long, mask long, close long, root long, asks boolean"), paths[2])
+    sided = near.join(sides, ["block", "mask", "close"]).select("node", "block", "root", "asks")
+    linked = sided.where("root is not null").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    rooted = held.join(sided.drop("block"), "node")
+    turns = F.ceil(F.greatest(F.count(F.lit(1)) / PART_SETS, F.sum("size") * 8 / PART_BYTES))
+    many = held.select("node", "block", "size").join(sided.where("asks").select("node"), "node").groupBy("block").agg(turns.alias("turns"))
+    rows = rooted.join(many, "block").withColumn("turn", F.pmod(F.xxhash64("node", F.lit(0)), F.col("turns")).cast("int"))
     every = lambda n: F.sequence(F.lit(0), n.cast("int") - 1)
     place = lambda i, j, ask: F.struct(i.alias("i"), j.alias("j"), F.lit(ask).alias("ask"))
     answers = F.transform(every(F.col("turns")), lambda i: place(i, F.col("part"), False))
-    asks = F.when(F.col("__asks"), F.transform(every(F.col("parts")), lambda j: place(F.col("turn"), j, True))).otherwise(F.array().cast("array<struct<i:int,j:int,ask:boolean>>"))
+    asks = F.when(F.col("asks"), F.transform(every(F.col("parts")), lambda j: place(F.col("turn"), j, True))).otherwise(F.array().cast("array<struct<i:int,j:int,ask:boolean>>"))
     met = rows.select("node", "block", "size", "a", "root", F.inline(F.concat(answers, asks)))
     return linked.union(met.groupBy("block", "i", "j").applyInArrow(_meet(percent), "a long, b long")), paths
 

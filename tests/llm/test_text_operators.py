@@ -274,6 +274,27 @@ def test_join_equals_brute_force(spark, parts, hot, monkeypatch):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows) == components(texts)
 
 
+def chains(rng, n=8, length=20):
+    """Texts that link with their neighbours in a chain only, so that a link between the
+    texts next to two pivots is often the one that holds a chain together."""
+    texts = []
+    for c in range(n):
+        line = [f"c{c}x{k}" for k in range(100 + 5 * length)]
+        texts += [" ".join(line[5 * k : 5 * k + 100]) for k in range(length)]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_join_of_large_blocks_equals_that_of_small_ones(spark, monkeypatch):
+    """A link of two texts that are near different pivots of a block is kept."""
+    texts = chains(random.Random(3))
+    for parts in (3, 3000):
+        monkeypatch.setattr(ngram_join, "PART_SETS", parts)
+        rows = ngram_join.join(frame(spark, texts)).collect()
+        got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows)
+        assert got == components(texts) and len({x[2] for x in got}) == 8
+
+
 @pytest.mark.parametrize("texts", [[(1, "one two three four five six seven")], [(1, "a b c d e f"), (2, "g h i j k l"), (3, "short")], [(1, None), (2, "")]])
 def test_join_where_nothing_repeats(spark, texts):
     rows = ngram_join.join(frame(spark, texts)).collect()
