@@ -8,11 +8,12 @@ import re
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from eventsort.llm import ngram_join
 from eventsort.llm.store import new_path, write_table
 
 from .conftest import frame, odd_texts, prose
 from .test_counts_and_packing import PATH, check
-from .test_text_operators import base_spans, components, deduplicated, statistics, words
+from .test_text_operators import base_spans, chains, components, deduplicated, statistics, words
 
 SECRET = "token = abcdef123456"
 
@@ -97,3 +98,11 @@ def test_ngram_join_goes_by_row(spark):
     assert [i for i, t in got if t.lower() == d] == ["6"] and [i for i, _ in got].count("10") == 1
     # however rows are dealt, the same ones stay
     assert rows_of(corpus_pipeline.ngram_join_stage(spark, docs.repartition(5).orderBy("text"), "")) == got
+
+
+def test_ngram_join_of_large_blocks_keeps_one_row_of_a_chain(spark, monkeypatch):
+    texts = chains(random.Random(3))
+    heads = {i for i, _, c in components(texts) if i == c}
+    for parts in (3, 3000):
+        monkeypatch.setattr(ngram_join, "PART_SETS", parts)
+        assert {i for i, _ in rows_of(corpus_pipeline.ngram_join_stage(spark, frame(spark, texts), ""))} == heads
