@@ -106,3 +106,33 @@ def test_ngram_join_of_large_blocks_keeps_one_row_of_a_chain(spark, monkeypatch)
     for parts in (3, 3000):
         monkeypatch.setattr(ngram_join, "PART_SETS", parts)
         assert {i for i, _ in rows_of(corpus_pipeline.ngram_join_stage(spark, frame(spark, texts), ""))} == heads
+
+
+def shuffled(spark):
+    """Bytes that the session's stages have written to shuffles so far."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    nothing = jvm.java.util.ArrayList()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(nothing, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), nothing)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_ngram_join_does_not_deal_out_the_texts_that_stay(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [(k, prose(rng, 2000, 10**9)) for k in range(80)]
+    texts += [(100, texts[3][1]), (101, texts[4][1] + " near"), (5, texts[5][1]), (102, None), (102, None)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    stay = sorted((str(i), t or "") for i, t in [*texts[:80], *texts[-2:]])
+    for marks in (1 << 18, 1):  # with one word of marks, most rows share one with a row that goes
+        monkeypatch.setattr(corpus_pipeline, "MARKS", marks)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            kept = corpus_pipeline.ngram_join_stage(spark, write_table(frame(spark, texts), new_path(spark, "t")), "")
+            before = shuffled(spark)
+            got = rows_of(write_table(kept, new_path(spark, "t")))
+            moved = shuffled(spark) - before
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        assert got == stay
+        if marks > 1:
+            assert moved < 0.2 * sum(len(t or "") for _, t in texts)
